@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, quality, token_counts
+from . import fingerprints, html_text, mixing, personal_data, quality, token_counts, url_filter
 from .tables import load
 
 
@@ -16,10 +16,18 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(load(spark, sf_dir, "pages"), url_filter.entries(spark))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(load(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.detect(load(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = load(spark, sf_dir, "documents")
     return quality.quality_scores(documents, quality.train(documents, load(spark, sf_dir, "labels")))
@@ -33,5 +41,9 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(load(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op7_quality_classifier, op8_mix_sources, op9_fingerprints)}
-ORACLE: dict[str, str] = {}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(load(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op4_personal_data, op7_quality_classifier, op8_mix_sources, op9_fingerprints, op10_html_text)}
+ORACLE: dict[str, str] = {"op1_url_filter": url_filter.ORACLE_SQL}
