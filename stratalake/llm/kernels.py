@@ -19,6 +19,7 @@ SLICE_BYTES = 1 << 20
 MASK = (1 << 64) - 1
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SIGNS = SPACES | np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -110,12 +111,12 @@ class Words:
     ends: np.ndarray
 
 
-def words(part: Slice) -> Words:
-    """64-bit hashes and byte places of all words of a slice."""
+def words(part: Slice, spaces: np.ndarray = SPACES) -> Words:
+    """64-bit hashes and byte places of all words of a slice; `spaces` says which bytes part words."""
     n = len(part.data)
     if not n:
         return Words(np.zeros(0, np.uint64), np.zeros(len(part) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    gap = SPACES[part.data]
+    gap = spaces[part.data]
     before = np.empty(n, bool)
     before[0] = True
     before[1:] = gap[:-1]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_text, mixing, personal_data, quality, token_counts, url_filter
+from . import decontaminate, fingerprints, html_text, licenses, mixing, personal_data, quality, token_counts, url_filter
 from .tables import load
 
 
@@ -24,10 +24,20 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(load(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.detect(load(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree of sources and ids; see licenses.sharded_dir."""
+    documents = load(spark, sf_dir, "documents")
+    return licenses.scan(documents.select("doc_id", licenses.sharded_dir(documents.doc_id, documents.source).alias("dir"), "text"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = load(spark, sf_dir, "documents")
     return quality.quality_scores(documents, quality.train(documents, load(spark, sf_dir, "labels")))
@@ -45,5 +55,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(load(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op4_personal_data, op7_quality_classifier, op8_mix_sources, op9_fingerprints, op10_html_text)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_decontaminate, op4_personal_data, op6_licenses, op7_quality_classifier, op8_mix_sources, op9_fingerprints, op10_html_text)}
 ORACLE: dict[str, str] = {"op1_url_filter": url_filter.ORACLE_SQL}
