@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, html_text, licenses, mixing, personal_data, quality, token_counts, url_filter
+from . import decontaminate, fingerprints, html_text, licenses, mixing, near_dedup, personal_data, quality, token_counts, url_filter
 from .tables import load
 
 
@@ -32,6 +32,10 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.detect(load(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(load(spark, sf_dir, "documents"), threshold=85)
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of a tree of sources and ids; see licenses.sharded_dir."""
     documents = load(spark, sf_dir, "documents")
@@ -55,5 +59,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(load(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_decontaminate, op4_personal_data, op6_licenses, op7_quality_classifier, op8_mix_sources, op9_fingerprints, op10_html_text)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_decontaminate, op4_personal_data, op5_near_dedup, op6_licenses, op7_quality_classifier, op8_mix_sources, op9_fingerprints, op10_html_text)}
 ORACLE: dict[str, str] = {"op1_url_filter": url_filter.ORACLE_SQL}
