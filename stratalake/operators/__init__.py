@@ -1 +1 @@
-"""TODO"""
+"""Operators on extents, logs, traces, layers and checksums, as DataFrame functions."""

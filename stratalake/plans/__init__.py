@@ -1 +1 @@
-"""TODO"""
+"""Derived inputs over the driver's tables, registered queries and their SQL."""

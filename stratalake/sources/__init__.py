@@ -1 +1 @@
-"""TODO"""
+"""Binary and text formats as DataFrames, and back."""

@@ -1 +1 @@
-"""TODO"""
+"""Structured Streaming forms of the stateful operators."""
