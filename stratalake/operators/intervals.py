@@ -15,20 +15,34 @@ from ..functions import bits
 from ..schema import DATA_START, MAX_LENGTH
 from .overlay import GRANULE, resolve
 
-ORDER = W.Window.partitionBy("device").orderBy("offset")
-SO_FAR = ORDER.rowsBetween(W.Window.unboundedPreceding, 0)
-BEFORE = ORDER.rowsBetween(W.Window.unboundedPreceding, -1)
-END = F.col("offset") + F.col("length")
+
+# functions, as column expressions at import would need a running session
+
+
+def _order() -> W.WindowSpec:
+    return W.Window.partitionBy("device").orderBy("offset")
+
+
+def _so_far() -> W.WindowSpec:
+    return _order().rowsBetween(W.Window.unboundedPreceding, 0)
+
+
+def _before() -> W.WindowSpec:
+    return _order().rowsBetween(W.Window.unboundedPreceding, -1)
+
+
+def _end() -> Column:
+    return F.col("offset") + F.col("length")
 
 
 def coalesce(segments: DataFrame, same: tuple[str, ...] = ("zeroed",), physical: bool = True) -> DataFrame:
     """Maximal runs: neighbours join where they touch, agree in `same`, and, for data, continue in the layer too."""
-    breaks = F.lag(END).over(ORDER) != F.col("offset")
+    breaks = F.lag(_end()).over(_order()) != F.col("offset")
     for name in same:
-        breaks = breaks | ~F.col(name).eqNullSafe(F.lag(name).over(ORDER))
+        breaks = breaks | ~F.col(name).eqNullSafe(F.lag(name).over(_order()))
     if physical:
-        breaks = breaks | (~F.col("zeroed") & (F.lag(F.col("moffset") + F.col("length")).over(ORDER) != F.col("moffset")))
-    marked = segments.withColumn("run", F.coalesce(breaks, F.lit(True)).cast("long")).withColumn("run", F.sum("run").over(SO_FAR))
+        breaks = breaks | (~F.col("zeroed") & (F.lag(F.col("moffset") + F.col("length")).over(_order()) != F.col("moffset")))
+    marked = segments.withColumn("run", F.coalesce(breaks, F.lit(True)).cast("long")).withColumn("run", F.sum("run").over(_so_far()))
     rest = [c for c in segments.columns if c not in ("device", "offset", "length")]
     return marked.groupBy("device", "run").agg(F.min("offset").alias("offset"), F.sum("length").alias("length"), *(F.min_by(c, "offset").alias(c) for c in rest)).drop("run")
 
@@ -67,7 +81,7 @@ def greedy_merge(segments: DataFrame, cap: int = MAX_LENGTH) -> DataFrame:
 
 def clip(segments: DataFrame, low: Column, high: Column) -> DataFrame:
     """The parts of segments within [low, high); data moves on in the layer."""
-    start, end = F.greatest(F.col("offset"), low), F.least(END, high)
+    start, end = F.greatest(F.col("offset"), low), F.least(_end(), high)
     kept = segments.filter(start < end)
     out = kept.withColumn("start_", start).withColumn("length_", end - start)
     if "moffset" in segments.columns:
@@ -78,9 +92,9 @@ def clip(segments: DataFrame, low: Column, high: Column) -> DataFrame:
 def cover(ranges: DataFrame) -> DataFrame:
     """(device, offset, length): the union of ranges that may overlap or touch."""
     order = W.Window.partitionBy("device").orderBy("offset", "length")
-    reach = F.max(END).over(order.rowsBetween(W.Window.unboundedPreceding, -1))
+    reach = F.max(_end()).over(order.rowsBetween(W.Window.unboundedPreceding, -1))
     marked = ranges.select("device", "offset", "length").withColumn("run", F.coalesce(F.col("offset") > reach, F.lit(True)).cast("long"))
-    grouped = marked.withColumn("run", F.sum("run").over(order.rowsBetween(W.Window.unboundedPreceding, 0))).groupBy("device", "run").agg(F.min("offset").alias("offset"), F.max(END).alias("end"))
+    grouped = marked.withColumn("run", F.sum("run").over(order.rowsBetween(W.Window.unboundedPreceding, 0))).groupBy("device", "run").agg(F.min("offset").alias("offset"), F.max(_end()).alias("end"))
     return grouped.select("device", "offset", (F.col("end") - F.col("offset")).alias("length"))
 
 
@@ -89,7 +103,7 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _bucketed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("bucket", F.explode(F.sequence(bits.div(F.col("offset"), GRANULE), bits.div(END - 1, GRANULE))))
+    return rows.withColumn("bucket", F.explode(F.sequence(bits.div(F.col("offset"), GRANULE), bits.div(_end() - 1, GRANULE))))
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -97,8 +111,8 @@ def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
 
     A pair that shares several granules is taken in the one where its overlap begins.
     """
-    left = _bucketed(a.select("device", "offset", "length")).select("device", "bucket", F.col("offset").alias("a_offset"), END.alias("a_end"))
-    right = _bucketed(b.select("device", "offset", "length")).select("device", "bucket", F.col("offset").alias("b_offset"), END.alias("b_end"))
+    left = _bucketed(a.select("device", "offset", "length")).select("device", "bucket", F.col("offset").alias("a_offset"), _end().alias("a_end"))
+    right = _bucketed(b.select("device", "offset", "length")).select("device", "bucket", F.col("offset").alias("b_offset"), _end().alias("b_end"))
     start, end = F.greatest("a_offset", "b_offset"), F.least("a_end", "b_end")
     pairs = left.join(right, ["device", "bucket"]).filter((start < end) & (bits.div(start, GRANULE) == F.col("bucket")))
     return pairs.select("device", start.alias("offset"), (end - start).alias("length"), "a_offset", "b_offset")
@@ -108,7 +122,7 @@ def complement(segments: DataFrame, sizes: DataFrame) -> DataFrame:
     """(device, offset, length): the holes of disjoint segments in devices of (device, sectors)."""
     edge = sizes.select("device", F.col("sectors").alias("offset"), F.lit(0).cast("long").alias("length"))
     marked = segments.select("device", "offset", "length").unionByName(edge)
-    start = F.coalesce(F.lag(END).over(W.Window.partitionBy("device").orderBy("offset", "length")), F.lit(0))
+    start = F.coalesce(F.lag(_end()).over(W.Window.partitionBy("device").orderBy("offset", "length")), F.lit(0))
     return marked.select("device", start.alias("start"), (F.col("offset") - start).alias("length")).filter("length > 0").withColumnRenamed("start", "offset")
 
 
@@ -138,7 +152,7 @@ def aliases(segments: DataFrame) -> DataFrame:
 
 def disorders(segments: DataFrame, index_end: Column, order: str = "ordinal") -> DataFrame:
     """Segments out of order or mapped outside the data region, with the reason."""
-    last = F.lag(END).over(W.Window.partitionBy("device").orderBy(order))
+    last = F.lag(_end()).over(W.Window.partitionBy("device").orderBy(order))
     start, end = F.col("moffset"), F.col("moffset") + F.col("length")
     outside = F.when(F.col("zeroed"), (start < DATA_START) | (start > index_end)).otherwise((start < DATA_START) | (start >= index_end) | (end > index_end) | (F.col("length") == 0))
     return segments.withColumn("reason", F.when(last > F.col("offset"), "order").when(outside, "bounds")).filter("reason is not null")
@@ -147,7 +161,7 @@ def disorders(segments: DataFrame, index_end: Column, order: str = "ordinal") ->
 def pack(segments: DataFrame, base: int = DATA_START) -> DataFrame:
     """Data laid out without gaps in logical order: `packed` is each data segment's new place in the layer."""
     size = F.when(F.col("zeroed"), 0).otherwise(F.col("length"))
-    return segments.withColumn("packed", F.when(~F.col("zeroed"), F.lit(base) + F.coalesce(F.sum(size).over(BEFORE), F.lit(0))))
+    return segments.withColumn("packed", F.when(~F.col("zeroed"), F.lit(base) + F.coalesce(F.sum(size).over(_before()), F.lit(0))))
 
 
 def pack_two(segments: DataFrame, tail: Column, base: int = DATA_START) -> DataFrame:
@@ -177,15 +191,15 @@ def geometry(plan: DataFrame) -> DataFrame:
 def copied_up(writes: DataFrame, block: int = 8) -> DataFrame:
     """Writes widened to whole blocks of 8 sectors, as a first write to a block copies the rest of it."""
     start = F.col("offset") - F.pmod("offset", F.lit(block))
-    return writes.withColumn("end_", bits.round_up(END, block)).withColumn("offset", start).withColumn("length", F.col("end_") - F.col("offset")).drop("end_")
+    return writes.withColumn("end_", bits.round_up(_end(), block)).withColumn("offset", start).withColumn("length", F.col("end_") - F.col("offset")).drop("end_")
 
 
 def fully_data(view: DataFrame, ranges: DataFrame) -> DataFrame:
     """Ranges (device, offset, length) with is_data: whether data covers all of it."""
     ranges = ranges.select("device", "offset", "length").distinct()
-    own = ranges.withColumn("range_end", END)
+    own = ranges.withColumn("range_end", _end())
     left = _bucketed(own).select("device", "bucket", F.col("offset").alias("r_offset"), "range_end")
-    right = _bucketed(view.filter("not zeroed").select("device", "offset", "length")).select("device", "bucket", "offset", END.alias("end"))
+    right = _bucketed(view.filter("not zeroed").select("device", "offset", "length")).select("device", "bucket", "offset", _end().alias("end"))
     start, end = F.greatest("offset", "r_offset", F.col("bucket") * GRANULE), F.least("end", "range_end", (F.col("bucket") + 1) * GRANULE)
     sums = left.join(right, ["device", "bucket"]).filter(start < end).groupBy("device", "r_offset", "range_end").agg(F.sum(end - start).alias("held"))
     out = own.join(sums.withColumnRenamed("r_offset", "offset"), ["device", "offset", "range_end"], "left")

@@ -46,7 +46,7 @@ def cells(extents: DataFrame) -> DataFrame:
 
 def _settled(rows: pa.Table) -> pa.RecordBatch:
     """Runs of sectors with one winner, of all granules of a table sorted by device and granule."""
-    device, granule, level, cell, rank = (rows.column(i).to_numpy() for i in range(5))
+    device, granule, level, cell, rank, base = (rows.column(i).to_numpy() for i in range(6))
     cuts = np.flatnonzero((np.diff(device) != 0) | (np.diff(granule) != 0)) + 1
     picked, starts, sizes = [], [], []
     for at in np.split(np.arange(len(device)), cuts):
@@ -60,8 +60,9 @@ def _settled(rows: pa.Table) -> pa.RecordBatch:
             wins = rank[own][:, None] > block[cell[own]]
             block[cell[own]] = np.where(wins, rank[own][:, None], block[cell[own]])
             names[cell[own]] = np.where(wins, own[:, None], names[cell[own]])
-        # the same extent may own several cells side by side: a run is one rank
-        edges = np.flatnonzero(np.diff(top)) + 1
+        # the same extent may own several cells side by side, and extents of one rank may touch: a run is one rank and base
+        first = np.where(owner >= 0, base[owner], -1)
+        edges = np.flatnonzero((np.diff(top) != 0) | (np.diff(first) != 0)) + 1
         begin = np.concatenate([[0], edges])
         size = np.diff(np.concatenate([begin, [GRANULE]]))
         live = owner[begin] >= 0

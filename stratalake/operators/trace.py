@@ -13,7 +13,9 @@ from pyspark.sql import window as W
 from ..functions import bits
 from ..schema import MAX_READ
 
-ORDER = W.Window.partitionBy("device").orderBy("ordinal")
+
+def _order() -> W.WindowSpec:
+    return W.Window.partitionBy("device").orderBy("ordinal")
 
 
 def conforming(trace: DataFrame) -> DataFrame:
@@ -85,8 +87,8 @@ def replayed(trace: DataFrame, layers: Column, max_records: int, max_bytes: int,
     grow, so each end is a condition on a running sum, and the first one counts.
     """
     own = F.when(eligible(layers, most), F.col("count")).otherwise(0)
-    upto = ORDER.rowsBetween(W.Window.unboundedPreceding, 0)
-    marked = trace.withColumn("own", own).withColumn("rank", F.row_number().over(ORDER)).withColumn("total", F.sum("own").over(upto))
+    upto = _order().rowsBetween(W.Window.unboundedPreceding, 0)
+    marked = trace.withColumn("own", own).withColumn("rank", F.row_number().over(_order())).withColumn("total", F.sum("own").over(upto))
     stop = (F.col("rank") > max_records) | (F.col("total") - F.col("own") >= max_bytes) | (F.col("total") > max_bytes)
     marked = marked.withColumn("stopped", F.max(stop.cast("int")).over(upto) == 1)
     # the record that exceeds the budget itself still counts as looked at, but not as skipped
