@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import written
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
     """(u, least): the least neighbour of each u; cut, so that the join below has a plain exchange on both sides and hot nodes can be split."""
-    return cut(edges.groupBy("u").agg(F.min("v").alias("least")))
+    return written(edges.groupBy("u").agg(F.min("v").alias("least")))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,11 +31,11 @@ def components(links: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps until every node points at its least one; each round is
     written to the shared checkpoint folder.  Rounds grow with the logarithm of the longest chain.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     mark = None
     while True:
         now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum("v").cast("string").alias("s")).first()
         if mark == now or not now["n"]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         mark = now
-        edges = cut(_small_star(_large_star(edges)))
+        edges = written(_small_star(_large_star(edges)))

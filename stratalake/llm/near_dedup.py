@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import bloom, kernels
 from .components import components
-from .tables import cut, pick
+from .tables import pick, written
 
 SHINGLE = 5
 SAMPLES, BANDS = 80, 20
@@ -120,7 +120,7 @@ def signatures(documents: DataFrame) -> DataFrame:
 
 def _matching(documents: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """(name, text): rows whose id may be among `ids`; a filter of bounded size spares the others the shuffle, the join that follows is exact."""
-    ids = cut(ids.distinct())
+    ids = written(ids.distinct())
     table = bloom.build(F.xxhash64(F.col(ids.columns[0])), ids, ids.count())
     rows = pick(documents, doc_id="long", text="string")
     return rows.filter(bloom.may_have(rows, table, F.xxhash64("doc_id"))).select(F.col("doc_id").alias(name), F.col("text").alias(f"text_{name}"))
@@ -169,7 +169,7 @@ def _rest(members: DataFrame, reps: DataFrame, most: int) -> DataFrame:
     each other; the many rows of one component are never compared among themselves.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("all"), F.count_if(F.col("component") != F.col("main")).alias("odd"))
-    rows = members.join(cut(sizes), "key").join(reps.select("rep", *_SKETCH), "rep")
+    rows = members.join(written(sizes), "key").join(reps.select("rep", *_SKETCH), "rep")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     other = F.col("component") != F.col("main")
     own = F.when(other, F.pmod(F.xxhash64("rep"), blocks("odd")).cast("int"))
@@ -222,14 +222,14 @@ def _rest(members: DataFrame, reps: DataFrame, most: int) -> DataFrame:
 def classes(documents: DataFrame, threshold: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; documents link from a similarity of threshold percent on."""
     most = most_bits(threshold)
-    signed = cut(signatures(documents))
+    signed = written(signatures(documents))
     sets = signed.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "bands", *_SKETCH)).alias("least"))
-    reps = cut(sets.select("node", F.col("least.doc_id").alias("rep"), "least.bands", *(f"least.{s}" for s in _SKETCH)))
+    reps = written(sets.select("node", F.col("least.doc_id").alias("rep"), "least.bands", *(f"least.{s}" for s in _SKETCH)))
     placed = reps.select("rep", F.explode("bands").alias("key"))
     order = F.xxhash64("rep", F.lit(5))
-    buckets = cut(placed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("order"), F.col("rep").alias("leader"))).alias("first")).filter("n > 1").select("key", F.col("first.leader").alias("leader")))
+    buckets = written(placed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("order"), F.col("rep").alias("leader"))).alias("first")).filter("n > 1").select("key", F.col("first.leader").alias("leader")))
     table = bloom.build(F.col("key"), buckets, buckets.count())
-    members = cut(placed.filter(bloom.may_have(placed, table, F.col("key"))).join(buckets, "key").select("key", "rep", "leader"))
+    members = written(placed.filter(bloom.may_have(placed, table, F.col("key"))).join(buckets, "key").select("key", "rep", "leader"))
     links = tested = found = None
     for step in range(ROUNDS + 1):
         if step == 0:
@@ -238,7 +238,7 @@ def classes(documents: DataFrame, threshold: int = 80) -> DataFrame:
             now = members.join(found, members.rep == found.node, "left").select("key", "rep", "leader", F.coalesce("component", "rep").alias("component"))
             head = found.select(F.col("node").alias("leader"), F.col("component").alias("main"))
             open_ = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct(F.xxhash64("component", F.lit(step)).alias("order"), order.alias("next"), F.col("rep").alias("head"), F.col("component").alias("head_component"))).alias("first")).filter("x <> y")
-            now = cut(now.join(cut(open_.select("key", "first.head", "first.head_component")), "key"))
+            now = written(now.join(written(open_.select("key", "first.head", "first.head_component")), "key"))
             if now.isEmpty():
                 break
             if step < ROUNDS:
@@ -248,14 +248,14 @@ def classes(documents: DataFrame, threshold: int = 80) -> DataFrame:
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        fresh = cut(pairs)
-        near = fresh if step == ROUNDS else cut(_near_enough(fresh, reps, most))
+        fresh = written(pairs)
+        near = fresh if step == ROUNDS else written(_near_enough(fresh, reps, most))
         tested = fresh if tested is None else tested.unionByName(fresh)
-        new = near if near.isEmpty() else cut(confirmed(documents, near, threshold))
+        new = near if near.isEmpty() else written(confirmed(documents, near, threshold))
         links = new if links is None else links.unionByName(new)
-        found = cut(components(links)) if step == 0 or not new.isEmpty() else found
+        found = written(components(links)) if step == 0 or not new.isEmpty() else found
     whole = reps.select(F.col("node").alias("set"), "rep").join(found, F.col("rep") == F.col("node"), "left")
-    whole = cut(whole.select(F.col("set").alias("node"), F.coalesce("component", "rep").alias("component_id")))
+    whole = written(whole.select(F.col("set").alias("node"), F.coalesce("component", "rep").alias("component_id")))
     out = signed.select("doc_id", "n_shingles", "node").join(whole, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
@@ -267,8 +267,8 @@ def dedup(documents: DataFrame, threshold: int = 80) -> DataFrame:
     Only rows that a filter of the dropped ids lets through are shuffled.
     """
     judged = classes(documents, threshold)
-    dropped = cut(judged.filter("not kept").select("doc_id").unionByName(judged.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")).distinct())
-    judged_repeats = cut(judged.filter("kept").groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
+    dropped = written(judged.filter("not kept").select("doc_id").unionByName(judged.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")).distinct())
+    judged_repeats = written(judged.filter("kept").groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
     table = bloom.build(F.xxhash64("doc_id"), dropped, dropped.count())
     key = F.xxhash64(F.col("doc_id").cast("long"))
     maybe = bloom.may_have(documents, table, key)
