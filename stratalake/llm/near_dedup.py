@@ -9,11 +9,11 @@ A document is the set of its five-word shingles (kernels.shingles).  The steps,
    others, so a bucket of n documents makes n - 1 pairs.  The population count of two sketches' XOR
    estimates their similarity; pairs clearly below the threshold are dropped, all others are checked
    on their full sets, from the texts.
-4. Links make components.  Buckets that still hold several components get another leader, of
-   another component, for ROUNDS rounds.
-5. In what buckets then remain, every pair of different components that was not yet compared is
-   compared by its sketches, in blocks of BLOCK documents, and checked like the others.  So within
-   buckets no link is lost, whatever its size, and blocks keep every task small.
+4. Links make components.  In buckets that still hold several, the documents of different components
+   are compared by their sketches, each pair in the first bucket that it shares, in blocks of about
+   BLOCK documents and at most about BLOCK_SHINGLES shingles.  The blocks hold the full sets and check
+   what the sketches leave; of the links they give those that join components.  So no link
+   between components of a bucket is lost, whatever its size, and rows and tasks stay small.
 
 With SAMPLES = 80 in bands of 4, a pair of similarity 0.85 shares no bucket with probability 4e-7, one of 0.8
 with 3e-5.  The sketch test allows MARGIN below the threshold, five standard deviations of the estimate.
@@ -40,8 +40,8 @@ SHINGLE = 5
 SAMPLES, BANDS = 80, 20
 BITS = 256
 MARGIN = 0.2
-ROUNDS = 2
-BLOCK = 256
+BLOCK = 512
+BLOCK_SHINGLES = 500_000
 _SKETCH = ["s0", "s1", "s2", "s3"]
 _ADD, _TIMES, _FOLD, _PLACE = (kernels.constants(SAMPLES, seed) for seed in (101, 202, 303, 404))
 _TIMES |= np.uint64(1)
@@ -84,6 +84,11 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).reshape(n, BITS // 8).copy().view(np.uint64)
 
 
+def set_hashes(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """128-bit hashes of non-empty sets, two numbers a row."""
+    return np.column_stack([np.add.reduceat(x, starts) for x in (kernels.mix(values), kernels.mix(values ^ _ADD[0]))])
+
+
 def most_bits(threshold: int) -> int:
     """Most odd places of two sketches' XOR at which a similarity of threshold percent is still possible."""
     differing = 2 * SAMPLES * (1 - threshold / 100 + MARGIN)
@@ -102,8 +107,7 @@ def signatures(documents: DataFrame) -> DataFrame:
                 full = np.flatnonzero(size)
                 none = pa.array(size == 0)
                 samples = minhashes(values, bounds[:-1][full]) if full.size else np.zeros((0, SAMPLES), np.uint64)
-                one, two = kernels.mix(values), kernels.mix(values ^ _ADD[0])
-                whole = np.column_stack([np.add.reduceat(x, bounds[:-1][full]) for x in (one, two)]) if full.size else np.zeros((0, 2), np.uint64)
+                whole = set_hashes(values, bounds[:-1][full]) if full.size else np.zeros((0, 2), np.uint64)
                 node = np.zeros((len(size), 2), np.uint64)
                 node[full] = whole
                 bands, sketch = np.zeros((len(size), BANDS), np.uint64), np.zeros((len(size), 4), np.uint64)
@@ -162,59 +166,107 @@ def _near_enough(pairs: DataFrame, reps: DataFrame, most: int) -> DataFrame:
     return pairs.join(mine, "b").join(other, "a").filter(bits <= most).select("a", "b")
 
 
-def _rest(members: DataFrame, reps: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b) of different components in the same bucket whose sketches allow the threshold, by blocks.
+def _sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """(rep, node, shingles): the full sets, as sorted 64-bit hashes, of at least the documents of `ids`."""
 
-    In each bucket the component of the first leader is compared with the others, and these among
-    each other; the many rows of one component are never compared among themselves.
+    def run(batches):
+        for batch in batches:
+            for part in kernels.slices(batch.column(1)):
+                values, bounds = distinct_sets(batch.column(1).slice(part.first, len(part)))
+                full = np.flatnonzero(np.diff(bounds))
+                if full.size:
+                    whole = set_hashes(values, bounds[:-1][full])
+                    rows = [values[bounds[i] : bounds[i + 1]].tobytes() for i in full.tolist()]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full + part.first)), pa.array([bytes(x) for x in whole], pa.binary()), pa.array(rows, pa.binary())], ["rep", "node", "shingles"])
+
+    return _matching(documents, ids, "rep").mapInArrow(run, "rep long, node binary, shingles binary")
+
+
+def _links_of_group(group: pa.Table, most: int, threshold: int) -> list[tuple[int, int]]:
+    """Links that join the components of one group's rows: for each pair of components that a link joins, at least a path of them."""
+    key, i, j, against = (group.column(c)[0].as_py() for c in ("key", "i", "j", "against_main"))
+    rep, label, main, own = (group.column(c).to_numpy() for c in ("rep", "component", "main", "own"))
+    label = label.copy()
+    odd = label != main
+    left = np.flatnonzero(odd)
+    if len(rep) < 2 or not left.size:
+        return []
+    sketch = np.column_stack([group.column(s).to_numpy() for s in _SKETCH]).view(np.uint64)
+    bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rep), BANDS)
+    raw = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+    size = np.array([len(x) for x in raw])
+    codes = np.unique(np.concatenate(raw), return_inverse=True)[1]
+    parts = np.split(codes, np.cumsum(size)[:-1])
+    own_set = np.zeros(int(codes.max()) + 1, bool)
+    found = []
+    for x in left.tolist():
+        other = ~odd if against else odd & (own != own[x]) if i != j else odd.copy()
+        if not against:
+            other[: x + 1] = False
+        ask = np.flatnonzero(other & (label != label[x]))
+        ask = ask[np.bitwise_count(sketch[ask] ^ sketch[x]).sum(axis=1) <= most]
+        ask = ask[100 * np.minimum(size[ask], size[x]) >= threshold * np.maximum(size[ask], size[x])]
+        same = bands[ask] == bands[x]
+        ask = ask[bands[x][same.argmax(axis=1)] == key]  # a pair is compared in the first bucket that it shares
+        if not ask.size:
+            continue
+        own_set[parts[x]] = True
+        shared = np.add.reduceat(own_set[np.concatenate([parts[y] for y in ask.tolist()])].astype(np.int64), np.concatenate([[0], np.cumsum(size[ask])[:-1]]))
+        own_set[parts[x]] = False
+        for y in ask[100 * shared >= threshold * (size[ask] + size[x] - shared)].tolist():
+            if label[y] != label[x]:
+                found.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
+                label[label == label[y]] = label[x]
+    return found
+
+
+def _rest(documents: DataFrame, members: DataFrame, reps: DataFrame, most: int, threshold: int) -> DataFrame:
+    """Links (a, b) between different components in the same bucket, by blocks.
+
+    In each bucket the component of the leader is compared with the others, and these among each other;
+    the many rows of one component are never compared among themselves.  The blocks hold the full sets,
+    so a task confirms pairs at once and gives only as many links as join its rows' components: fewer than its rows.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("all"), F.count_if(F.col("component") != F.col("main")).alias("odd"))
-    rows = members.join(written(sizes), "key").join(reps.select("rep", *_SKETCH), "rep")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    sets = written(_sets(documents, members.select("rep")))
+    weight = sets.groupBy("rep").agg((F.max(F.length("shingles")) / 8).alias("weight"))
     other = F.col("component") != F.col("main")
-    own = F.when(other, F.pmod(F.xxhash64("rep"), blocks("odd")).cast("int"))
+    blocks = lambda n, total: F.ceil(F.greatest(n / BLOCK, total / BLOCK_SHINGLES)).cast("int")
+    sizes = members.join(weight, "rep").groupBy("key").agg(blocks(F.count("*"), F.sum("weight")).alias("all"), blocks(F.count_if(other), F.coalesce(F.sum(F.when(other, F.col("weight"))), F.lit(0.0))).alias("odd"))
+    own = F.when(other, F.pmod(F.xxhash64("rep"), F.col("odd")).cast("int"))
     # every odd block meets every odd block (as rows below and above the diagonal) and every block of the main component
-    mine = F.pmod(F.xxhash64("rep", F.lit(1)), blocks("all")).cast("int")
-    to_odd = F.transform(F.sequence(F.lit(0), blocks("odd") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.lit(False).alias("against_main")))
-    to_main = F.transform(F.sequence(F.lit(0), blocks("all") - 1), lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(True).alias("against_main")))
-    from_main = F.transform(F.sequence(F.lit(0), blocks("odd") - 1), lambda i: F.struct(i.alias("i"), mine.alias("j"), F.lit(True).alias("against_main")))
-    dealt = rows.filter("odd > 0").select("key", "rep", "component", "main", *_SKETCH, F.explode(F.when(other, F.concat(to_odd, to_main)).otherwise(from_main)).alias("block"))
-    dealt = dealt.select("key", "block.i", "block.j", "block.against_main", "rep", "component", "main", *_SKETCH).repartition("key", "i", "j", "against_main").sortWithinPartitions("key", "i", "j", "against_main")
-
-    def compared(rows: pa.Table) -> pa.RecordBatch:
-        columns = [rows.column(i).to_numpy() for i in range(rows.num_columns)]
-        group = np.column_stack([columns[0], columns[1], columns[2], columns[3].astype(np.int64)])
-        cuts = np.flatnonzero((np.diff(group, axis=0) != 0).any(axis=1)) + 1
-        rep, component, main, sketch = columns[4], columns[5], columns[6], np.column_stack(columns[7:11]).view(np.uint64)
-        first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at in np.split(np.arange(len(rep)), cuts):
-            if len(at) < 2:
-                continue
-            against = bool(columns[3][at[0]])
-            left = at[component[at] != main[at]]
-            right = at[component[at] == main[at]] if against else left
-            if not left.size or not right.size:
-                continue
-            bits = np.bitwise_count(sketch[left][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2)
-            x, y = np.nonzero((bits <= most) & (component[left][:, None] != component[right][None, :]))
-            a, b = rep[left[x]], rep[right[y]]
-            first.append(np.minimum(a, b))
-            second.append(np.maximum(a, b))
-        pairs = np.unique(np.column_stack([np.concatenate(first), np.concatenate(second)]), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+    mine = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("all")).cast("int")
+    to_odd = F.transform(F.sequence(F.lit(0), F.col("odd") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.lit(False).alias("against_main")))
+    to_main = F.transform(F.sequence(F.lit(0), F.col("all") - 1), lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(True).alias("against_main")))
+    from_main = F.transform(F.sequence(F.lit(0), F.col("odd") - 1), lambda i: F.struct(i.alias("i"), mine.alias("j"), F.lit(True).alias("against_main")))
+    dealt = members.join(written(sizes), "key").filter("odd > 0")
+    dealt = written(dealt.select("key", "rep", "component", "main", F.coalesce(own, F.lit(-1)).alias("own"), F.explode(F.when(other, F.concat(to_odd, to_main)).otherwise(from_main)).alias("block")))
+    held_sets = reps.select("rep", "node", "bands", *_SKETCH).join(sets, ["rep", "node"])
+    order = ["key", "i", "j", "against_main"]
+    dealt = dealt.select("key", "block.i", "block.j", "block.against_main", "rep", "component", "main", "own").join(held_sets.drop("node"), "rep")
+    dealt = dealt.select(*order, "rep", "component", "main", "own", "bands", "shingles", *_SKETCH).repartition(*order).sortWithinPartitions(*order)
+
+    def linked(group: list[pa.Table]) -> pa.RecordBatch:
+        found = _links_of_group(pa.concat_tables(group), most, threshold)
+        return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches):
-        held: pa.Table | None = None
+        held: list[pa.Table] = []
+        last = None
         for batch in batches:
-            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            last = [rows.column(i)[rows.num_rows - 1].as_py() for i in range(4)]
-            same = np.logical_and.reduce([rows.column(i).to_numpy() == last[i] for i in range(4)])
-            start = int(np.argmax(same))  # the last group may go on in the next batch
-            if start:
-                yield compared(rows.slice(0, start))
-            held = rows.slice(start)
-        if held is not None:
-            yield compared(held)
+            rows = pa.Table.from_batches([batch])
+            if not rows.num_rows:
+                continue
+            marks = np.column_stack([rows.column(c).to_numpy().astype(np.int64) for c in order])
+            cuts = [0, *(np.flatnonzero((np.diff(marks, axis=0) != 0).any(axis=1)) + 1).tolist(), len(marks)]
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                mark = tuple(marks[start].tolist())
+                if held and mark != last:
+                    yield linked(held)
+                    held = []
+                held.append(rows.slice(start, end - start))
+                last = mark
+        if held:
+            yield linked(held)
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -230,30 +282,15 @@ def classes(documents: DataFrame, threshold: int = 80) -> DataFrame:
     buckets = written(placed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(order.alias("order"), F.col("rep").alias("leader"))).alias("first")).filter("n > 1").select("key", F.col("first.leader").alias("leader")))
     table = bloom.build(F.col("key"), buckets, buckets.count())
     members = written(placed.filter(bloom.may_have(placed, table, F.col("key"))).join(buckets, "key").select("key", "rep", "leader"))
-    links = tested = found = None
-    for step in range(ROUNDS + 1):
-        if step == 0:
-            pairs = members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-        else:
-            now = members.join(found, members.rep == found.node, "left").select("key", "rep", "leader", F.coalesce("component", "rep").alias("component"))
-            head = found.select(F.col("node").alias("leader"), F.col("component").alias("main"))
-            open_ = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct(F.xxhash64("component", F.lit(step)).alias("order"), order.alias("next"), F.col("rep").alias("head"), F.col("component").alias("head_component"))).alias("first")).filter("x <> y")
-            now = written(now.join(written(open_.select("key", "first.head", "first.head_component")), "key"))
-            if now.isEmpty():
-                break
-            if step < ROUNDS:
-                pairs = now.filter("component <> head_component").select(F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b"))
-            else:
-                pairs = _rest(now.join(head, "leader", "left").select("key", "rep", "component", F.coalesce("main", "leader").alias("main")), reps, most)
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        fresh = written(pairs)
-        near = fresh if step == ROUNDS else written(_near_enough(fresh, reps, most))
-        tested = fresh if tested is None else tested.unionByName(fresh)
-        new = near if near.isEmpty() else written(confirmed(documents, near, threshold))
-        links = new if links is None else links.unionByName(new)
-        found = written(components(links)) if step == 0 or not new.isEmpty() else found
+    pairs = members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    found = written(components(confirmed(documents, written(_near_enough(pairs, reps, most)), threshold)))
+    now = members.join(found, members.rep == found.node, "left").select("key", "rep", "leader", F.coalesce("component", "rep").alias("component"))
+    main = F.max(F.when(F.col("rep") == F.col("leader"), F.col("component"))).alias("main")
+    open_ = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), main).filter("x <> y")
+    now = written(now.join(written(open_.select("key", "main")), "key").select("key", "rep", "component", "main"))
+    if not now.isEmpty():
+        more = written(_rest(documents, now, reps, most, threshold))
+        found = written(components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))))
     whole = reps.select(F.col("node").alias("set"), "rep").join(found, F.col("rep") == F.col("node"), "left")
     whole = written(whole.select(F.col("set").alias("node"), F.coalesce("component", "rep").alias("component_id")))
     out = signed.select("doc_id", "n_shingles", "node").join(whole, "node", "left")

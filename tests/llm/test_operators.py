@@ -1,6 +1,7 @@
 """The ten operators against brute force, planted cases and broken rows."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -65,6 +66,21 @@ def test_near_dedup_of_a_large_group_of_copies(spark):
     assert found == {i: 0 if i < 300 else i for i in rows}
 
 
+def test_near_dedup_of_a_large_group_of_edits(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 24)
+    base, rng = prose(120).split(), random.Random(7)
+    rows = {}
+    for i in range(260):
+        own = list(base)
+        for _ in range(rng.choice([1, 2, 4, 6, 9])):
+            own[rng.randrange(len(own))] = f"e{rng.randrange(40)}"
+        rows[i] = " ".join(own)
+    frame = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.classes(frame, 85).collect()}
+    assert found == by_brute_force(rows, 85)
+    assert 2 < len({c for _, c in found.values()}) < 260
+
+
 def test_token_counts_match_the_library(spark, sf_dir, texts):
     from tokenizers import Tokenizer
 
