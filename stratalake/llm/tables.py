@@ -11,7 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Most rows and bytes of an Arrow batch on its way to Python; the defaults hold 10,000 whole texts at once, in the JVM and in Python.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches where the session has no setting of its own."""
+    for key, bound in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, bound)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,6 +39,7 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder that all executors share; a folder of this process only where none is set (tests)."""
+    bound_batches(spark)
     context = spark.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"stratalake-{os.getpid()}"))
