@@ -162,7 +162,8 @@ def mix(documents: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, seed: int
     own = F.broadcast(spark.createDataFrame([tuple(r) for r in ends.collect()], ends.schema))
     base = documents if keep or sources is not None else pick(documents, doc_id="long", text="string", source="string")
     rows = _measured(base.drop("size", "pattern", "draw"), sources, seed).join(own, "pattern")
-    copies = (F.col("whole") + (F.col("draw") <= F.col("last")).cast("long")).alias("copies")
+    # a pattern without a remainder, or without words, has no last draw
+    copies = (F.col("whole") + F.coalesce(F.col("draw") <= F.col("last"), F.lit(False)).cast("long")).alias("copies")
     rows = rows.select("*", copies).withColumn("taken", F.col("copies") * F.col("size"))
     own_columns = ["size", "source_size", "target", "taken", "copies"]
     kept = [c for c in documents.columns if c not in own_columns] if keep else ["doc_id"]
