@@ -2,7 +2,7 @@
 
 Four kinds of spans are found: email, ip, card, phone.  The base spans are fixed patterns (BASE) and
 always stay.  Wider patterns propose further candidates: written-out addresses, phone numbers without
-a plus, cards with other separators, IPv6.  For every candidate, base ones too, LABELERS vote yes, no
+a plus, cards with other separators, IPv6 (also with `::`).  For every candidate, base ones too, LABELERS vote yes, no
 or nothing: a form pattern, a validity check, a gazetteer (domain endings, card issuers, address
 ranges, dialling codes), the words before it, and what touches it.  Votes are counted over all
 documents by pattern (a bounded table: 4 kinds, 3 votes of 5 labelers, 4 lengths), expectation-
@@ -36,10 +36,13 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
-ANY = re.compile(r"[0-9@]| at |\(at\)|\[at\]", re.I)
+#: Every match of a base or wide pattern holds one of these; texts without them are not scanned.
+ANY = re.compile(r"[0-9@]|[\[({]at[\])}]|\sat\s|:[0-9a-f:]", re.I)
 
 WIDE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\s?(?:\[at\]|\(at\)|\{at\}|(?<=\s)at(?=\s)|@)\s?[A-Za-z0-9-]{1,63}+(?:(?:\s?(?:\[dot\]|\(dot\)|\{dot\}|(?<=\s)dot(?=\s))\s?|\.)[A-Za-z0-9-]{1,63}+){1,4}", re.I)
-WIDE_IP = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![0-9A-Za-z:])", re.I)
+_RUN = r"[0-9a-f]{1,4}(?::[0-9a-f]{1,4})"
+#: IPv6 in full and with `::`, which stands for one group at least (see `wider`); also after a label ("addr:") and before a colon of the sentence.
+WIDE_IP = re.compile(rf"(?:(?<![0-9A-Za-z:.])|(?<=[g-z]:))(?:{_RUN}{{7}}|(?:{_RUN}{{0,6}})?::(?:{_RUN}{{0,6}})?)(?![0-9A-Za-z]|:[0-9A-Za-z:]|\.[0-9])", re.I)
 WIDE_CARD = re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[./_\x20-]{1,2}[0-9]{4}){3}(?![0-9A-Za-z])")
 WIDE_PHONE = re.compile(r"(?<![0-9A-Za-z+.,-])(?:(?:\+|00)[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?[\x20./-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z])")
 #: Gazetteers and context words: fixed values.
@@ -117,6 +120,8 @@ def wider(text: str, taken: list[list[Span]]) -> Iterator[tuple[int, Span]]:
             continue
         for m in pattern.finditer(text):
             a, b = m.span()
+            if kind == 1 and "::" in m.group() and not 1 <= sum(map(bool, m.group().split(":"))) <= 7:
+                continue
             i = int(np.searchsorted(starts, b)) - 1
             if i < 0 or flat[i][1] <= a:
                 yield kind, (a, b)
@@ -135,7 +140,7 @@ def votes(kind: int, text: str, a: int, b: int) -> tuple[int, ...]:
         octets = span.split(".")
         form = YES if ":" in span or all(o == str(int(o or 0)) for o in octets if len(o) < 4) else NO
         valid = YES if ":" in span or all(len(o.lstrip("0")) <= 3 for o in octets) else NO
-        listed = NONE if ":" in span else YES if not re.match(r"0|127\.|2(?:2[4-9]|[3-5][0-9])\.", span) and any(len(o) > 1 for o in octets) else NO
+        listed = (YES if re.match(r"[23][0-9a-f]{3}:|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:", span, re.I) else NO if "::" in span else NONE) if ":" in span else YES if not re.match(r"0|127\.|2(?:2[4-9]|[3-5][0-9])\.", span) and any(len(o) > 1 for o in octets) else NO
     elif kind == 2:
         form = YES if re.fullmatch(r"[0-9]{13,19}|(?:[0-9]{4}([ ./_-]{1,2}))(?:[0-9]{4}\1){2}[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}", span) else NO
         valid = YES if 13 <= len(number) <= 19 and luhn(number) else NO

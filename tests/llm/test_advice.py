@@ -1,9 +1,10 @@
 """Cases that a review found cut: each fails on the code before its fix."""
 
+import re
 from collections import defaultdict
 
 import corpus_pipeline
-from stratalake.llm import mixing
+from stratalake.llm import mixing, personal_data
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -25,3 +26,29 @@ def test_mix_takes_sources_without_a_remainder_whole(spark, sf_dir):
     assert [r.copies for r in kept if r.source == "a"] == [3, 3]
     assert not [r for r in kept if r.source == "e"]
     assert abs(sum(r.taken for r in kept) - 110) <= 10
+
+
+def test_personal_data_filter_skips_no_match(spark, monkeypatch):
+    places = ["jane.doe{at}example{dot}com", "jane at\nexample.com", "jane\tat\texample.org", "jane.doe [AT] example (dot) org", "jane(at)example.net", "dead::beef", "fe80::", "ab:cd:ef:ab:cd:ef:ab:cd"]
+    texts = [f"please write to {p} for more" for p in places]
+    held = [personal_data._found(t) for t in texts]
+    assert all(more for _, more, _ in held)
+    monkeypatch.setattr(personal_data, "ANY", re.compile(""))
+    assert held == [personal_data._found(t) for t in texts]
+    monkeypatch.undo()
+    rows = [(i, t.replace("please", "please, contact:")) for i, t in enumerate(texts[:1] * 30)]
+    out = personal_data.mask(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all("[EMAIL]" in r.text and "doe" not in r.text for r in out)
+
+
+def test_personal_data_finds_compressed_ipv6(spark):
+    good = ["2001:db8::1", "2001:DB8:0:0:8:800:200C:417A", "fe80::1ff:fe23:4567:890a", "2001:db8::", "fd00:1:2:3:4:5:6::"]
+    for a in good + ["::1", "::ffff:1"]:
+        for around in ("server {} is down", "server {}: down", "addr:{} up", "{}.", "[{}]:80", "({})") if not a.startswith(":") else ("server {} is down", "({})"):
+            text = around.format(a)
+            assert [text[i:j] for k, (i, j), _ in personal_data._found(text)[1] if k == 1] == [a], text
+    for bad in ("a :: b", "std::vector", "Ada::Text", "1:2:3:4::5:6:7:8", "1::2::3", "x::1", "12:30:45", "::"):
+        assert not [1 for k, _, _ in personal_data._found(bad)[1] if k == 1], bad
+    rows = [(i, f"the server {a} is down") for i, a in enumerate(good)]
+    for r in personal_data.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.spans == f"ip:11:{11 + len(good[r.doc_id])}" and r.n_added == 1
