@@ -1,4 +1,4 @@
-"""Threshold-scaled sketches of documents: every shingle hash below a fixed fraction is kept.
+"""Threshold-scaled sketches of documents: the shingle hashes below a fixed bound, now all of them, are kept.
 
 A sketch is the sorted set of a text's 64-bit hashes of five-word shingles (a shorter text is one
 shingle) that are below FRACTION of the hash range, written with 48 bits each in 8 characters.  As the
@@ -26,18 +26,18 @@ from pyspark.sql import functions as F
 from . import kernels
 from .tables import pick
 
-FRACTION = 8  # one in so many hashes is kept
+FRACTION = 1  # one in so many hashes is kept; 8 lost the near copies of texts below some 60 words
 SHIFT = 64 - 48 - (FRACTION.bit_length() - 1)
 
 
 def sketches(column: pa.Array, k: int = 5) -> list[tuple[int, int, np.ndarray]]:
     """Of each row: distinct shingles, a hash of their set, and the kept hashes in order."""
-    bound, out = np.uint64((1 << 64) // FRACTION), []
+    bound, out = np.uint64((1 << 64) // FRACTION - 1), []
     for part in kernels.slices(column):
         found = kernels.shingles(kernels.words(part), k)
         for a, b in zip(found.bounds[:-1].tolist(), found.bounds[1:].tolist(), strict=True):
             own = np.unique(found.hashes[a:b])
-            out.append((len(own), int(kernels.mix(own).sum(dtype=np.uint64)) if len(own) else 0, own[: np.searchsorted(own, bound)]))
+            out.append((len(own), int(kernels.mix(own).sum(dtype=np.uint64)) if len(own) else 0, own[: np.searchsorted(own, bound, side="right")]))
     return out
 
 

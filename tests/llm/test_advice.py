@@ -4,7 +4,7 @@ import re
 from collections import defaultdict
 
 import corpus_pipeline
-from stratalake.llm import mixing, personal_data
+from stratalake.llm import fingerprints, mixing, personal_data, queries
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -52,3 +52,27 @@ def test_personal_data_finds_compressed_ipv6(spark):
     rows = [(i, f"the server {a} is down") for i, a in enumerate(good)]
     for r in personal_data.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         assert r.spans == f"ip:11:{11 + len(good[r.doc_id])}" and r.n_added == 1
+
+
+def five_words(text):
+    w = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def test_fingerprints_estimate_similarity_at_every_length(spark):
+    big = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "text").collect()}
+    ids = sorted(texts)
+    after = dict(zip(ids, ids[1:] + ids[:1]))
+    seen = defaultdict(int)
+    for r in queries.op9_fingerprints(spark, big).collect():
+        a, b = five_words(texts[r.doc_id]), five_words(fingerprints.edited(texts[r.doc_id], texts[after[r.doc_id]]))
+        true = len(a & b) / len(a | b) if a | b else 1.0
+        assert abs(r.near_edited - true) <= 0.05, (len(a), r.near_edited, true)
+        for bound in (8, 20, 60, 200, 10**9):
+            if len(a) < bound:
+                seen[bound] += 1
+                break
+        x, y = fingerprints.read(r.fingerprint), fingerprints.read(r.edited_fingerprint)
+        assert abs(fingerprints.likeness(x, y) - true) <= 0.05
+    assert len(seen) == 5
