@@ -4,7 +4,7 @@ import re
 from collections import defaultdict
 
 import corpus_pipeline
-from stratalake.llm import fingerprints, mixing, personal_data, queries
+from stratalake.llm import fingerprints, licenses, mixing, personal_data, queries
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -76,3 +76,38 @@ def test_fingerprints_estimate_similarity_at_every_length(spark):
         x, y = fingerprints.read(r.fingerprint), fingerprints.read(r.edited_fingerprint)
         assert abs(fingerprints.likeness(x, y) - true) <= 0.05
     assert len(seen) == 5
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+ISC = """Copyright (c) 2020 Someone. All rights reserved.
+
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+that the above copyright notice and this permission notice appear in all copies."""
+GPL = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version."""
+
+
+def test_licenses_of_full_texts_wrapped_headers_spdx_and_embedded_sentences(spark):
+    filler = " ".join(f"word{i}" for i in range(40))
+    planted = {
+        "MIT": ["MIT License\n\nCopyright (c) 2020 Someone\n\n" + MIT, MIT, "// SPDX-License-Identifier: MIT\n" + filler, "Released under\nthe MIT License.", f"{filler} Released under the MIT License. {filler}", "SPDX-License-Identifier: (Unknown-1 OR MIT)"],
+        "ISC": [ISC],
+        "GPL-3.0": [GPL + "\n" + filler, "# SPDX-License-Identifier: GPL-3.0-or-later"],
+        "LGPL-3.0": [GPL.replace("GNU General", "GNU Lesser General")],
+        "Apache-2.0": ["SPDX-License-Identifier: Apache-2.0", f"{filler} Licensed under the Apache License, Version 2.0. {filler}", filler + "\nLicensed under the\nApache License, Version 2.0."],
+        "all-rights-reserved": ["Copyright 2020 Someone. All\nrights reserved."],
+        None: [filler, "", None, "SPDX-License-Identifier: Unknown-1", "permission to enter was not given"],
+    }
+    cases = [(name, text) for name, texts in planted.items() for text in texts]
+    rows = [(i, f"/d{i}", text) for i, (_, text) in enumerate(cases)] + [(1000 + i, "/prose", f"{filler} more{i}") for i in range(200)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, dir string, text string")).collect()}
+    wrong = [(name, got[i].own_license, got[i].score, text) for i, (name, text) in enumerate(cases) if got[i].own_license != name]
+    assert not wrong
+    assert all(got[i].is_file for i, (_, text) in enumerate(cases) if text in (MIT, ISC))
