@@ -8,11 +8,13 @@ chance, so a join that follows stays exact at any size.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels
+from .tables import mapped
+
 MAX_BLOCKS = 1 << 18
 BITS_PER_KEY = 14
 SALTS = np.array([0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31], np.uint64)
@@ -24,15 +26,15 @@ def blocks_for(keys: int, most: int = MAX_BLOCKS) -> int:
 
 
 def _places(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Block and the eight word masks of each 64-bit key."""
-    keys = keys.astype(np.uint64, copy=False)
+    """Block and the eight word masks of each 64-bit key; any numbers will do, as they are mixed here."""
+    keys = kernels.mix(keys.view(np.uint64))
     block = ((keys >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
     low = (keys & np.uint64(0xFFFFFFFF))[:, None]
     return block.astype(np.int64), np.uint64(1) << (((low * SALTS) & np.uint64(0xFFFFFFFF)) >> np.uint64(26))
 
 
 def build(keys: Column, df: DataFrame, count: int, most: int = MAX_BLOCKS) -> np.ndarray:
-    """The filter of a column of 64-bit hashes: words by block and place; partial filters are joined by or before they meet."""
+    """The filter of a column of 64-bit numbers: words by block and place; partial filters are joined by or before they meet."""
     blocks = blocks_for(count, most)
 
     def partial(batches):
@@ -44,7 +46,7 @@ def build(keys: Column, df: DataFrame, count: int, most: int = MAX_BLOCKS) -> np
         used = np.flatnonzero(own.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(own[used, i].view(np.int64)) for i in range(8))], ["block", *_WORDS])
 
-    parts = df.select(keys.cast("long").alias("key")).mapInArrow(partial, "block long, " + ", ".join(f"{w} long" for w in _WORDS))
+    parts = mapped(df.select(keys.cast("long").alias("key")), partial, "block long, " + ", ".join(f"{w} long" for w in _WORDS))
     rows = parts.groupBy("block").agg(*(F.bit_or(w).alias(w) for w in _WORDS)).toArrow()  # at most MAX_BLOCKS rows
     out = np.zeros((blocks, 8), np.uint64)
     if rows.num_rows:
@@ -58,14 +60,7 @@ def passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ((table[block] & masks) == masks).all(axis=1)
 
 
-def may_have(df: DataFrame, table: np.ndarray, key: Column) -> Column:
-    """A condition on a column of 64-bit hashes; null keys don't pass."""
-    sent = df.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def probe(keys: pd.Series) -> pd.Series:
-        known = keys.notna().to_numpy()
-        values = keys.fillna(0).to_numpy().astype(np.int64).view(np.uint64)
-        return pd.Series(passes(sent.value, values) & known)
-
-    return probe(key.cast("long"))
+def having(batch_keys: pa.Array, table: np.ndarray) -> np.ndarray:
+    """Places of a batch's 64-bit numbers that may have been added; nulls have not."""
+    known = np.flatnonzero(np.asarray(batch_keys.is_valid()))
+    return known[passes(table, batch_keys.take(pa.array(known)).to_numpy(zero_copy_only=False))]

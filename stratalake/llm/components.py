@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import forget, written
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
@@ -16,13 +16,17 @@ def _nearest(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = _nearest(both)
-    return both.join(near, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v"))
+    out = written(both.join(near, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")))
+    forget(near)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     near = _nearest(edges)
     moved = edges.join(near, "u").filter("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
-    return moved.unionByName(near.select("u", F.col("least").alias("v"))).distinct()
+    out = written(moved.unionByName(near.select("u", F.col("least").alias("v"))).distinct())
+    forget(near)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -38,4 +42,7 @@ def components(links: DataFrame) -> DataFrame:
         if mark == now or not now["n"]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         mark = now
-        edges = written(_small_star(_large_star(edges)))
+        large = _large_star(edges)
+        small = _small_star(large)
+        forget(edges, large)
+        edges = small

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import kernels
-from .tables import pick
+from .tables import mapped, pick
 
 K = 5
 THRESHOLD = 0.5
@@ -168,7 +168,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                 rows, items, covered, words, made = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 5
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(sent.value.ids[items]), pa.array(covered), pa.array(words), pa.array(covered / np.maximum(words, 1)), pa.array(made)], ["doc_id", "item_id", "covered", "item_words", "coverage", "tiles"])
 
-        some = texts.mapInArrow(run, kind)
+        some = mapped(texts, run, kind)
         out = some if out is None else out.unionByName(some)
     return out if out is not None else documents.sparkSession.createDataFrame([], kind)
 
@@ -185,5 +185,5 @@ def clean(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                 keep[[r for r, *_ in _leaks(batch.column(place), sent.value, threshold)]] = False
                 yield batch.filter(pa.array(keep))
 
-        documents = documents.mapInArrow(run, documents.schema)
+        documents = mapped(documents, run, documents.schema)
     return documents

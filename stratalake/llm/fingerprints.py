@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .tables import pick
+from .tables import mapped, pick
 
 FRACTION = 1  # one in so many hashes is kept; 8 lost the near copies of texts below some 60 words
 SHIFT = 64 - 48 - (FRACTION.bit_length() - 1)
@@ -89,7 +89,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(written, sketches(batch.column(1)))), pa.string())], ["doc_id", "fingerprint"])
 
-    return pick(df, **{id_col: "long", text_col: "string"}).mapInArrow(run, "doc_id long, fingerprint string")
+    return mapped(pick(df, **{id_col: "long", text_col: "string"}), run, "doc_id long, fingerprint string")
 
 
 def edited(text: str, following: str) -> str:
@@ -165,4 +165,4 @@ def edited_pairs(df: DataFrame, parts: int | None = None) -> DataFrame:
         if held and not held[0][1]:
             yield from judged([*held, (None, True, None, "")], pa.array([held[0][3], ""], pa.large_string()))
 
-    return ready.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return mapped(ready, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

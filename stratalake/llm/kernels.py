@@ -15,8 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
-MASK = (1 << 64) - 1
+SLICE_BYTES = 1 << 18
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 SIGNS = SPACES | np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -53,13 +52,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(_BASE, n), _powers(_BASE_INV, n)
-
-
-def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse; the standard slice's tables stay in memory."""
-    if n <= SLICE_BYTES * 2:
-        return _power_tables(SLICE_BYTES * 2)
+    """Powers of the base and of its inverse."""
     return _powers(_BASE, n), _powers(_BASE_INV, n)
 
 
@@ -129,11 +122,32 @@ def words(part: Slice, spaces: np.ndarray = SPACES) -> Words:
     solid = ~gap
     starts = np.flatnonzero(solid & before)
     ends = np.flatnonzero(solid & after) + 1
-    power, inverse = power_tables(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[LOWER[part.data]] * power[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return Words(hashes, np.searchsorted(starts, part.offsets), starts, ends)
+    return Words(_word_hashes(part.data, starts, ends), np.searchsorted(starts, part.offsets), starts, ends)
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words by prefix sums over at most about SLICE_BYTES at a time, however long the slice or a word is."""
+    out = np.empty(len(starts), np.uint64)
+    power, inverse = _power_tables(SLICE_BYTES)
+    i = 0
+    while i < len(starts):
+        low = int(starts[i])
+        j = int(np.searchsorted(ends, low + SLICE_BYTES - 1, side="right"))
+        if j <= i:  # one word above a slice
+            value, factor = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+            for at in range(low, int(ends[i]), SLICE_BYTES):
+                some = data[at : min(at + SLICE_BYTES, int(ends[i]))]
+                value += (_BYTE_VALUE[LOWER[some]] * power[: len(some)]).sum(dtype=np.uint64) * factor
+                factor *= np.uint64(pow(_BASE, SLICE_BYTES, 1 << 64))
+            out[i] = value[0]
+            i += 1
+            continue
+        high = int(ends[j - 1])
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_BYTE_VALUE[LOWER[data[low:high]]] * power[: high - low], out=total[1:])
+        out[i:j] = (total[ends[i:j] - low] - total[starts[i:j] - low]) * inverse[starts[i:j] - low]
+        i = j
+    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 @dataclass
@@ -148,9 +162,14 @@ class Shingles:
     at: np.ndarray
 
 
+@lru_cache(maxsize=8)
+def _salts(k: int) -> np.ndarray:
+    return constants(k, 0x5417)
+
+
 def shingles(found: Words, k: int = 5, short: bool = True) -> Shingles:
     """All runs of `k` words; with `short`, a row of fewer words has its whole sequence as one."""
-    salt = constants(k, 0x5417)
+    salt = _salts(k)
     count = np.diff(found.bounds)
     n = len(found.hashes)
     full = np.zeros(max(0, n - k + 1), np.uint64)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels, stats
-from .tables import cut, pick
+from .tables import cut, mapped, pick
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns.  Possessive repeats and look-behinds change no match; they keep failing places linear.
@@ -269,7 +269,7 @@ def detect(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             )
 
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    found = cut(pick(documents, **{id_col: "long", text_col: "string"}).mapInArrow(run, f"doc_id long, {counts}, base_sha256 string, base string, more string, codes array<int>"))
+    found = cut(mapped(pick(documents, **{id_col: "long", text_col: "string"}), run, f"doc_id long, {counts}, base_sha256 string, base string, more string, codes array<int>"))
     yes = frozenset(accepted({r["code"]: r["n"] for r in found.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n")).collect()}))
 
     def finish(batches):
@@ -291,7 +291,7 @@ def detect(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 added.append(len(every) - sum(map(len, own)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), pa.array(spans, pa.string()), pa.array(added, pa.int64())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
-    return found.mapInArrow(finish, f"doc_id long, {counts}, base_sha256 string, spans string, n_added long")
+    return mapped(found, finish, f"doc_id long, {counts}, base_sha256 string, spans string, n_added long")
 
 
 def learn(documents: DataFrame, text_col: str = "text") -> frozenset[int]:
@@ -306,7 +306,7 @@ def learn(documents: DataFrame, text_col: str = "text") -> frozenset[int]:
                         counts[code] = counts.get(code, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int32()), pa.array(counts.values(), pa.int64())], ["code", "n"])
 
-    rows = pick(documents, **{text_col: "string"}).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()  # at most PATTERNS rows
+    rows = mapped(pick(documents, **{text_col: "string"}), run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()  # at most PATTERNS rows
     return frozenset(accepted({r["code"]: r["n"] for r in rows}))
 
 
@@ -337,4 +337,4 @@ def mask(documents: DataFrame, text_col: str = "text", chars_col: str = "n_chars
                 columns[chars] = pa.array([o if t is None else len(t) for t, o in zip(texts, old.to_pylist(), strict=True)], old.type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return documents.mapInArrow(run, documents.schema)
+    return mapped(documents, run, documents.schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .tables import pick
+from .tables import mapped, pick
 
 SAMPLE = 2000
 DICT_BYTES = 96 << 10
@@ -179,7 +179,7 @@ def quality_scores(documents: DataFrame, model: Model, threshold: float = 0.3) -
             score = _scores(batch.column(1), packed)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    out = pick(documents, doc_id="long", text="string").mapInArrow(run, "doc_id long, score double, predicted int")
+    out = mapped(pick(documents, doc_id="long", text="string"), run, "doc_id long, score double, predicted int")
     return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
@@ -191,4 +191,4 @@ def keep_good(documents: DataFrame, model: Model, threshold: float = 0.3, text_c
         for batch in batches:
             yield batch.filter(pa.array(_scores(pc.cast(batch.column(place), pa.string()), packed) >= threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return mapped(documents, run, documents.schema)

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import kernels
-from .tables import pick
+from .tables import mapped, pick
 
 CACHED = 400_000
 PIECE = 1_000_000
@@ -172,4 +172,4 @@ def token_counts(df: DataFrame, path: str, limit: int = 1024, id_col: str = "doc
             tokens = [n for _, texts in kernels.text_lists(batch.column(1)) for n in own.counts(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return pick(df, **{id_col: "long", text_col: "string"}).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return mapped(pick(df, **{id_col: "long", text_col: "string"}), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
