@@ -1,26 +1,29 @@
 """Benchmark decontamination by greedy string tiling.
 
 Documents and benchmark items are sequences of words (runs of letters, digits and non-ASCII
-characters, in lower case).  A rolling hash of every K words (Karp-Rabin) is joined with the items' hashes; each shared
-one is a seed.  For each document and item that share seeds, the longest run of seeds on one diagonal
-whose words are still unmarked in both is marked as a tile, again and again, until no run of at least
-K words is left.  The item's coverage is its share of marked words, so an item that occurs in pieces
-or in another order is found as well as an exact copy.  At THRESHOLD or more the document is contaminated.
+characters, in lower case).  The hashes of every K words are joined with the items'; each shared one is a
+seed, and a document and an item whose seeds can reach the threshold are tiled.  A tiling searches the
+longest run of unmarked words that both have, by Karp-Rabin hashes of all windows of a length and a
+binary search over lengths, marks every free pair of that length, and goes on with the next shorter until no
+run of K words is left.  The item's coverage is its share of marked words, so an item that occurs in
+pieces or in another order is found as well as an exact copy.  At THRESHOLD or more the document is contaminated.
 
 The items reach the executors in blocks of at most BLOCK_BYTES of text (an item above that is a block
 of its own); each block is one pass over the documents, so the sent data has a fixed bound however
-large the benchmark is.  Documents are never shuffled.
+large the benchmark is.  Documents are never shuffled.  Seeds are joined as distinct hashes, and a tiling
+keeps a few numbers a word, so repetitive texts cost no more memory than others.
 
-Defined results: null and empty texts have no words and match nothing; items of fewer than K words are
-never found; equal items are found alike, one row each, and repeated item rows count once; repeated
-documents give repeated rows; longest tiles win, of equal ones the first in the document, then in the item.
+Defined results: null and empty texts have no words and match nothing; an item of fewer than K words
+is one seed, its whole sequence, if it has SHORT_BYTES bytes of words (as in scripts without spaces), and is never found
+below that, as common words would be; equal items are found alike, one row each, and repeated item rows count once; items without an id
+count too; repeated documents give repeated rows; longest tiles win, of equal ones the first in the document, then in the item.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from heapq import heappop, heappush
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,90 +35,143 @@ from .tables import mapped, pick
 
 K = 5
 THRESHOLD = 0.5
-BLOCK_BYTES = 8 << 20
+SHORT_BYTES = 24
+BLOCK_BYTES = 4 << 20
+_SIEVE = 24
+_STEP = 0xD1342543DE82EF95
+_BACK = pow(_STEP, -1, 1 << 64)
 
 
 @dataclass
 class Items:
-    """A block of benchmark items: the words' hashes, and every K-word hash in order with its item and place."""
+    """A block of benchmark items: their words' hashes, and every distinct seed of an item with the number of its places."""
 
-    ids: np.ndarray
+    ids: list[int | None]
     words: np.ndarray
     bounds: np.ndarray
     seeds: np.ndarray
     item: np.ndarray
-    place: np.ndarray
+    count: np.ndarray
     sieve: np.ndarray
+    short: list[int]
 
     @staticmethod
-    def of(ids: list[int], texts: list[str]) -> Items:
-        words, bounds, seeds, item, place = [], [0], [], [], []
+    def of(ids: list[int | None], texts: list[str]) -> Items:
+        words, bounds, seeds, item = [np.zeros(0, np.uint64)], [0], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        short = set()
         for part in kernels.slices(pc.utf8_lower(pa.array(texts, pa.large_string()))):
             found = kernels.words(part, kernels.SIGNS)
-            runs = kernels.shingles(found, K, short=False)
+            size = np.diff(found.bounds)
+            runs = kernels.shingles(found, K)
             own = np.repeat(np.arange(len(part)), np.diff(runs.bounds))
+            letters = np.concatenate([[0], np.cumsum(found.ends - found.starts)])
+            held = (size >= K) | (letters[found.bounds[1:]] - letters[found.bounds[:-1]] >= SHORT_BYTES)
+            short.update(size[held & (size < K) & (size > 0)].tolist())
             words.append(found.hashes)
             bounds += (found.bounds[1:] + bounds[-1]).tolist()
-            seeds.append(runs.hashes)
-            item.append(own + part.first)
-            place.append(runs.at - found.bounds[own])
-        seed = np.concatenate([np.zeros(0, np.uint64), *seeds])
-        order = np.argsort(seed, kind="stable")
-        sieve = np.zeros(1 << 24, bool)
-        sieve[seed >> np.uint64(40)] = True
-        return Items(np.array(ids, np.int64), np.concatenate([np.zeros(0, np.uint64), *words]), np.array(bounds), seed[order], np.concatenate([np.zeros(0, int), *item])[order], np.concatenate([np.zeros(0, int), *place])[order], sieve)
+            seeds.append(runs.hashes[held[own]])
+            item.append(own[held[own]] + part.first)
+        seed, of = np.concatenate(seeds), np.concatenate(item)
+        order = np.lexsort((of, seed))
+        seed, of = seed[order], of[order]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(seed)), bool), (np.diff(seed) != 0) | (np.diff(of) != 0)]))
+        bits = np.zeros(1 << (_SIEVE - 3), np.uint8)
+        np.bitwise_or.at(bits, (seed >> np.uint64(64 - _SIEVE + 3)).astype(np.int64), _bit(seed))
+        return Items(ids, np.concatenate(words), np.array(bounds), seed[first], of[first], np.diff(np.concatenate([first, [len(seed)]])), bits, sorted(short))
 
     def joined(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of an index into `hashes` and one into the seeds, where both are equal."""
-        maybe = np.flatnonzero(self.sieve[hashes >> np.uint64(40)])
+        maybe = np.flatnonzero(self.sieve[(hashes >> np.uint64(64 - _SIEVE + 3)).astype(np.int64)] & _bit(hashes))
         low, high = (np.searchsorted(self.seeds, hashes[maybe], side) for side in ("left", "right"))
         size = high - low
         first = np.repeat(np.cumsum(size) - size, size)
         return np.repeat(maybe, size), np.repeat(low, size) + np.arange(len(first)) - first
 
 
-def tiles(places: np.ndarray, against: np.ndarray, k: int = K) -> list[tuple[int, int, int]]:
-    """Greedy tiling of one pair of sequences from the places of their shared k-word seeds.
+def _bit(hashes: np.ndarray) -> np.ndarray:
+    return np.left_shift(np.uint8(1), ((hashes >> np.uint64(64 - _SIEVE)) & np.uint64(7)).astype(np.uint8))
 
-    Returns (place, place in the item, length) of each tile, the longest first.
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return kernels._powers(_STEP, n), kernels._powers(_BACK, n)
+
+
+class _Sequence:
+    """Words with marks; hashes of all unmarked windows of a length."""
+
+    def __init__(self, words: np.ndarray, marked: np.ndarray):
+        n = len(words)
+        power, self.back = _powers(1 << max(10, n.bit_length()))
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum(words * power[:n], out=self.total[1:])
+        self.marked = marked
+
+    def free(self, size: int) -> np.ndarray:
+        """Starts of windows without a marked word."""
+        marks = np.concatenate([[0], np.cumsum(self.marked)])
+        return np.flatnonzero(marks[size:] == marks[: len(marks) - size]) if size < len(marks) else np.zeros(0, np.int64)
+
+    def windows(self, starts: np.ndarray, size: int) -> np.ndarray:
+        return (self.total[starts + size] - self.total[starts]) * self.back[starts]
+
+
+def tiles(words: np.ndarray, against: np.ndarray, k: int = K, barred: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Greedy tiling of two sequences of words: (place, place in `against`, length) of each tile, the longest first.
+
+    `barred` places of the first sequence are in no tile.
     """
-    diagonal = places - against
-    order = np.lexsort((places, diagonal))
-    p, d = places[order], diagonal[order]
-    cuts = np.flatnonzero((np.diff(d) != 0) | (np.diff(p) != 1)) + 1
-    starts = np.concatenate([[0], cuts])
-    sizes = np.diff(np.concatenate([starts, [len(p)]])) + k - 1
-    # runs as (length, place, place in the item); longest first, split where a longer tile has marked their words
-    heap = sorted(zip((-sizes).tolist(), p[starts].tolist(), (p[starts] - d[starts]).tolist(), strict=True))
+    here = _Sequence(words, np.zeros(len(words), bool) if barred is None else barred.copy())
+    there = _Sequence(against, np.zeros(len(against), bool))
     out: list[tuple[int, int, int]] = []
-    here: set[int] = set()
-    there: set[int] = set()
-    while heap:
-        n, a, b = heappop(heap)
-        n = -n
-        free = [a + i not in here and b + i not in there for i in range(n)]
-        if all(free):
-            out.append((a, b, n))
-            here.update(range(a, a + n))
-            there.update(range(b, b + n))
-            continue
-        i = 0
-        while i < n:
-            if not free[i]:
-                i += 1
+
+    def common(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        a, b = here.free(size), there.free(size)
+        own, other = here.windows(a, size), there.windows(b, size)
+        hit = np.isin(own, other)
+        return a[hit], own[hit], b, other
+
+    longest = min(len(words), len(against))
+    while longest >= k:
+        low, high = k - 1, longest  # a run of `low` words is common, or low is below k
+        while low < high:
+            middle = (low + high + 1) // 2
+            if len(common(middle)[0]):
+                low = middle
+            else:
+                high = middle - 1
+        if low < k:
+            break
+        places, hashes, starts, other = common(low)
+        order = np.argsort(other, kind="stable")
+        sorted_, open_ = other[order], starts[order]
+        next_, done = {}, 0
+        for a, h in zip(places.tolist(), hashes.tolist(), strict=True):
+            if a < done:
                 continue
-            j = i
-            while j < n and free[j]:
-                j += 1
-            if j - i >= k:
-                heappush(heap, (i - j, a + i, b + i))
-            i = j
+            i = next_.get(h)
+            if i is None:
+                i = int(np.searchsorted(sorted_, np.uint64(h)))
+            while i < len(sorted_) and sorted_[i] == h and there.marked[open_[i] : open_[i] + low].any():
+                i += 1
+            next_[h] = i
+            if i < len(sorted_) and sorted_[i] == h:
+                b = int(open_[i])
+                here.marked[a : a + low] = True
+                there.marked[b : b + low] = True
+                out.append((a, b, low))
+                done = a + low
+                if there.marked.all():
+                    return out
+        longest = low  # the same length may be left where an earlier tile of it stood in the way
+        if not len(common(low)[0]):
+            longest = low - 1
     return out
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Items]:
     """The items in blocks of about BLOCK_BYTES; only one block at a time is on the driver."""
-    rows = pick(benchmark, item_id="long", text="string").filter("text is not null and item_id is not null").distinct()
+    rows = pick(benchmark, item_id="long", text="string").filter("text is not null").distinct()
     ids, texts, size = [], [], 0
     for row in rows.sort("item_id", "text").toLocalIterator():
         ids.append(row["item_id"])
@@ -133,24 +189,39 @@ def _leaks(column: pa.Array, own: Items, threshold: float) -> Iterator[tuple[int
     lengths = np.diff(own.bounds)
     for part in kernels.slices(pc.utf8_lower(kernels.strings(column))):
         found = kernels.words(part, kernels.SIGNS)
-        runs = kernels.shingles(found, K, short=False)
-        at, seed = own.joined(runs.hashes)
-        if not at.size:
-            continue
-        row = np.searchsorted(runs.bounds, at, "right") - 1
-        place = runs.at[at] - found.bounds[row]
-        item = own.item[seed]
-        order = np.lexsort((item, row))
-        cuts = np.flatnonzero((np.diff(row[order]) != 0) | (np.diff(item[order]) != 0)) + 1
-        for group in np.split(order, cuts):
-            r, i = int(row[group[0]]), int(item[group[0]])
-            # each shared seed covers K words at most, so few seeds need no tiling
-            if min(len(np.unique(own.place[seed[group]])) * K, int(lengths[i])) < threshold * lengths[i]:
+        for size in (*own.short, K):
+            runs = kernels.shingles(found, size, short=False)
+            at, seed = own.joined(runs.hashes)
+            if not at.size:
                 continue
-            made = tiles(place[group], own.place[seed[group]])
-            covered = sum(n for _, _, n in made)
-            if covered >= threshold * lengths[i]:
-                yield part.first + r, i, covered, int(lengths[i]), len(made)
+            row = np.searchsorted(runs.bounds, at, "right") - 1
+            # a seed of an item counts once in a row, with all its places in the item; each covers K words at most
+            order = np.lexsort((seed, row))
+            row, seed, at = row[order], seed[order], at[order]
+            once = np.concatenate([[True], (np.diff(row) != 0) | (np.diff(seed) != 0)])
+            pair = row[once] * len(lengths) + own.item[seed[once]]
+            pairs, back = np.unique(pair, return_inverse=True)
+            reach = np.minimum(np.bincount(back, weights=own.count[seed[once]]) * size, lengths[pairs % len(lengths)])
+            for p in pairs[reach >= threshold * lengths[pairs % len(lengths)]].tolist():
+                r, i = divmod(p, len(lengths))
+                n = int(lengths[i])
+                if size < K:
+                    if n == size:
+                        yield part.first + r, i, n, n, 1
+                    continue
+                a, b = np.searchsorted(row, [r, r + 1])
+                held = np.unique(at[a:b][own.item[seed[a:b]] == i])
+                # only the words of seeds can be in a tile; what lies between is left out but for a barred word
+                cover = np.zeros(int(found.bounds[r + 1] - found.bounds[r]) + 1, np.int64)
+                start = runs.at[held] - found.bounds[r]
+                np.add.at(cover, start, 1)
+                np.add.at(cover, start + K, -1)
+                inside = np.cumsum(cover[:-1]) > 0
+                keep = inside | np.concatenate([[False], inside[:-1]])
+                made = tiles(found.hashes[found.bounds[r] : found.bounds[r + 1]][keep], own.words[own.bounds[i] : own.bounds[i + 1]], K, ~inside[keep])
+                covered = sum(x for _, _, x in made)
+                if covered >= threshold * n:
+                    yield part.first + r, i, covered, n, len(made)
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -162,11 +233,11 @@ def leaks(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
         sent = documents.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
+            ids = pa.array(sent.value.ids, pa.int64())
             for batch in batches:
-                ids = batch.column(0)
                 found = list(_leaks(batch.column(1), sent.value, threshold))
                 rows, items, covered, words, made = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 5
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(sent.value.ids[items]), pa.array(covered), pa.array(words), pa.array(covered / np.maximum(words, 1)), pa.array(made)], ["doc_id", "item_id", "covered", "item_words", "coverage", "tiles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), ids.take(pa.array(items)), pa.array(covered), pa.array(words), pa.array(covered / np.maximum(words, 1)), pa.array(made)], ["doc_id", "item_id", "covered", "item_words", "coverage", "tiles"])
 
         some = mapped(texts, run, kind)
         out = some if out is None else out.unionByName(some)

@@ -1,15 +1,17 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page is one pass over its tags.  Text between two block-level tags is a block; inline tags and <br>
-stay inside it.  A block's features are its own number of words and link density and those of the
-blocks before and after it, what kind of tag holds it, and whether the nearest enclosing element that
-says so is an article or a menu, header, footer, sidebar, notice, advert, form or comment list.  The
-tree is grown from LABELLED, a small table of pages whose blocks are labelled by hand; nothing of the
-data is used to fit it.
+stay inside it.  A block's features are its own number of words and link density, those of the
+blocks before and after it, how many text-like blocks (of LONG words or more, few of them linked) come before and after it, what kind
+of tag holds it, and what the nearest enclosing element that says so is for: an article, or a menu, header, footer, sidebar, notice, advert,
+form or comment list.  The tree is grown from a small table (`labelled`) of pages made of parts whose blocks are labelled by
+hand, each page as it is and once more with all elements' names and classes taken away; so words, link density and neighbours
+decide, and names only where these can't.  Nothing of the data is used to fit it.
 
 Defined results: null and empty html, and pages without text, give an empty string; rows are kept one
 for one; unclosed and stray tags, an unfinished tag at the end and unknown references are handled as
-browsers do, approximately; only the id, url and html columns are read.  Memory: one page at a time beside the batch.
+browsers do, approximately; only the id, url and html columns are read.  Time and memory are linear in a
+page's length, however its tags are nested; one page at a time is in memory beside the batch.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import html
 import re
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -76,14 +79,47 @@ def _context(tag: str, attributes: str, inside_article: bool) -> int | None:
     return own
 
 
+@lru_cache(maxsize=64)
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(r"</head\s*>|<body\b" if tag == "head" else rf"</{re.escape(tag)}(?=[\s/>])", re.I)
+
+
+class _Open:
+    """Open elements; each carries what it inherits, so that no step walks the stack."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, int, int, bool]] = []  # tag, nearest context, nearest kind, hidden elements, inside an article
+        self.places: dict[str, list[int]] = {}
+
+    @property
+    def top(self) -> tuple[str, int, int, int, bool]:
+        return self.stack[-1] if self.stack else ("", 0, 0, 0, False)
+
+    def push(self, tag: str, own: int | None, kind: int) -> None:
+        _, context, above, hidden, article = self.top
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if own in (1, -1):
+            context, above = own, 0
+        self.stack.append((tag, context, kind or above, hidden + (own == -2), article or own == 1))
+
+    def close(self, tag: str) -> None:
+        """Ends the nearest element of a tag with all inside it; a stray end tag does nothing."""
+        if self.places.get(tag):
+            self.cut(self.places[tag][-1])
+
+    def cut(self, size: int) -> None:
+        while len(self.stack) > size:
+            self.places[self.stack.pop()[0]].pop()
+
+
 def blocks(page: str) -> list[Block]:
     """All text blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # tag, context, kind
+    open_ = _Open()
     now: list[str] = []
     links: list[bool] = []
-    linking = 0
-    unseen = 0  # how many enclosing elements of the stack are not shown
+    linking = False
+    endless: set[str] = set()  # tags without an end tag in the rest of the page
     place = 0
 
     def end() -> None:
@@ -93,26 +129,14 @@ def blocks(page: str) -> list[Block]:
                 linked = 0
                 if any(links):
                     linked = len(html.unescape(" ".join(t for t, yes in zip(now, links, strict=True) if yes)).split())
-                context = kind = 0
-                for _, c, k in reversed(stack):
-                    kind = kind or k
-                    if c:
-                        context = c
-                        break
-                out.append(Block(" ".join(words), len(words), min(linked, len(words)), context, kind))
+                out.append(Block(" ".join(words), len(words), min(linked, len(words)), *open_.top[1:3]))
             now.clear()
             links.clear()
 
-    def drop(n: int) -> None:
-        nonlocal unseen
-        for _, c, _ in stack[n:]:
-            unseen -= c == -2
-        del stack[n:]
-
     def add(piece: str) -> None:
-        if piece and not unseen:
+        if piece and not open_.top[3]:
             now.append(piece)
-            links.append(linking > 0)
+            links.append(linking)
 
     size = len(page)
     while place < size:
@@ -129,22 +153,19 @@ def blocks(page: str) -> list[Block]:
             continue
         if m[1] or m[4]:
             if tag == "a":
-                linking = max(0, linking - 1)
+                linking = False
             elif tag not in INLINE:
                 end()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        drop(i)
-                        break
-                if tag in GOOD_TAGS | BAD_TAGS:
-                    linking = 0
+                open_.close(tag)
+                if tag in GOOD_TAGS or tag in BAD_TAGS:
+                    linking = False
             continue
         attributes = m[3] or m[6] or ""
         if tag == "br":
             add(" ")
             continue
         if tag == "a":
-            linking = 1
+            linking = True
             continue
         if tag in VOID:
             if tag == "hr":
@@ -153,9 +174,7 @@ def blocks(page: str) -> list[Block]:
         if tag in UNSEEN:
             if tag not in ("svg", "math", "button", "label"):
                 end()
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, place)
-            if tag == "head":
-                close = re.compile(r"</head\s*>|<body\b", re.I).search(page, place)
+            close = None if tag in endless else _closing(tag).search(page, place)
             if close:
                 place = close.start()
                 if page.startswith("</", place):
@@ -163,79 +182,136 @@ def blocks(page: str) -> list[Block]:
                     place = size if shut < 0 else shut + 1
             elif tag in RAW:
                 place = size
+            else:
+                endless.add(tag)
             continue
         if tag in INLINE:
             continue
         end()
-        linking = 0
-        if tag in CLOSES_P and stack and stack[-1][0] == "p":
-            drop(len(stack) - 1)
-        if tag == "li" and stack and stack[-1][0] == "li" or tag in HEADINGS and stack and stack[-1][0] in HEADINGS:
-            drop(len(stack) - 1)
-        own = _context(tag, attributes, any(c == 1 for _, c, _ in stack))
+        linking = False
+        last = open_.top[0]
+        if tag in CLOSES_P and last == "p" or tag == "li" and last == "li" or tag in HEADINGS and last in HEADINGS:
+            open_.cut(len(open_.stack) - 1)
+        own = _context(tag, attributes, open_.top[4])
         kind = 1 if tag == "p" or tag == "pre" or tag == "blockquote" else 2 if tag in HEADINGS else 3 if tag in ("li", "td", "th", "dd", "dt", "option") else 0
         if not attributes.endswith("/"):
-            stack.append((tag, own or 0, kind))
-            unseen += own == -2
+            open_.push(tag, own, kind)
     end()
     return out
 
 
+LONG, LINKED = 12, 0.34
+
+
 def features(found: list[Block]) -> np.ndarray:
-    """Context, kind, words and link density of each block, then words and link density of both neighbours."""
+    """Words and link density of each block and of both its neighbours, text-like blocks before and after (up to 2 count), kind, context."""
     words = np.array([0, *(b.words for b in found), 0], float)
     density = np.array([0.0, *(b.linked / b.words for b in found), 0.0])
-    own = np.array([[b.context, b.kind] for b in found], float).reshape(len(found), 2)
-    return np.column_stack([own, words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:]])
-
-
-_LONG = "The river rose for three days before anyone in the valley thought of moving the animals up to the old summer barns above the mill."
-_NEXT = "Nobody had written down how the water ran in other years, so the older farmers were asked, and each of them remembered something else."
-_MID = "By noon the bridge was closed and the road behind it too."
-#: The labelled table: pages, and for each of their blocks whether it belongs to the article.
-LABELLED: list[tuple[str, str]] = [
-    (f"<nav><a href=a>Home</a> <a href=b>News</a></nav><div class=ad>Buy the new lamp today.</div><article><h1>Flood</h1><p>{_LONG}<p>It rose.<p>{_NEXT}<p>Rain.</article><footer>(c) Valley Press</footer>", "--+++++-"),
-    (f"<header>Valley Press daily</header><main><h2>Short news</h2><p>Yes.</p><p>{_MID}</p><ul><li>First came the rain.</li><li>Then wind.</li></ul></main><aside><p>{_NEXT}</p></aside><footer><p>{_LONG}</p></footer>", "-+++++--"),
-    (f"<ul><li><a href=a>Home</a><li><a href=b>Weather today</a><li><a href=c>Sport</a></ul><h1>The flood</h1><p>{_LONG}</p><p>{_NEXT}</p><p>{_MID}</p><p><a href=d>More news from the valley</a></p><p>Terms of use</p>", "---++++--"),
-    (f"<div><a href=a>Start</a> | <a href=b>Contact us</a></div><div><h1>What the valley remembers</h1><div>{_LONG}</div><div>{_NEXT} <a href=x>See the list</a></div></div><div class='comments'><p>{_MID}</p><p>I was there and it was worse than that, believe me.</p></div>", "-+++--"),
-    (f"<div id=cookie-notice><p>We use cookies to make this page work for you as well as it can.</p><button>Agree</button></div><div class=content><p>{_MID}</p><p>So it went.</p><p>{_LONG}</p></div><div class=sidebar><h3>Most read</h3><ul><li><a href=e>Ten lamps</a></li></ul></div>", "-+++--"),
-    (f"<article><header><h1>Title of it</h1></header><p>{_LONG}</p><div class=share><a href=s>Share</a></div><p>{_MID}</p><form><p>Your mail address please</p></form><section id=comments><p>{_NEXT}</p></section></article>", "++-+--"),
-    (f"<table><tr><td><a href=a>One</a></td><td><a href=b>Two</a></td></tr></table><table><tr><td>{_LONG} {_NEXT}</td></tr></table><p>All rights kept</p>", "--+-"),
-    (f"<article><p>Look at <a href=q>the whole table of levels and years</a> here.</p><h3>Levels</h3><ul><li>Four</li><li><a href=r>Five metres</a> in May</li></ul><p><a href=z>{_MID}</a></p></article><div><p>Login</p></div>", "+++++-"),
-    (f"<div><p><a href=a>Read how the town of the upper mill got its new bridge last year</a></p><p><a href=b>See what the council says about the price of the new lamps</a></p></div><h2>After the flood</h2><div><p>{_NEXT}</p><p>Nine of the barns stand.</p><p>{_LONG}</p></div><p>Copyright of the Valley Press and its writers, all rights kept.</p>", "--++++-"),
-    (f"<p>Welcome to the page of the Valley Press, printed since long ago.</p><p><a href=a>Home</a></p><div>{_LONG}</div><div>{_MID} {_NEXT}</div><div>It took <a href=k>nine days</a> until the road was open again.</div><div><a href=a>The next story is about the lamps on the old bridge</a></div>", "--+++-"),
-    (f"<div><p>{_LONG}</p><p>{_NEXT}</p><p>And then the sun came out again.</p><p>{_MID}</p></div><div><p><a href=a>Older</a></p><p><a href=b>Newer</a></p></div><p>Printed in the valley</p>", "++++---"),
-]
+    texts = ((words >= LONG) & (density < LINKED))[1:-1].astype(float)
+    before = np.minimum(np.cumsum(texts) - texts, 2)
+    after = np.minimum(texts.sum() - np.cumsum(texts), 2)
+    own = np.array([[b.kind, b.context] for b in found], float).reshape(len(found), 2)
+    return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], before, after, own])
+
+
+_A = "The river rose for three days before anyone in the valley thought of moving the animals up to the old summer barns above the mill."
+_B = "Nobody had written down how the water ran in other years, so the older farmers were asked, and each of them remembered something else."
+_C = "By noon the bridge was closed and the road behind it too, and the post came on foot over the hill."
+_D = "It took nine days until the road was open again."
+#: The labelled table: parts of pages, and for each of their blocks whether it belongs to the article.
+HEADS = (
+    ("<nav><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li><li><a href=c>Sport</a></li></ul></nav>", "---"),
+    ("<div class=menu><a href=a>Start</a> | <a href=b>Contact us</a> | <a href=c>The valley in pictures</a></div>", "-"),
+    ("<header><p>Valley Press, printed since long ago</p><nav><a href=a>Home</a> <a href=b>Weather today</a></nav></header>", "--"),
+    ("<ul class=nav><li><a href=a>Home</a><li><a href=b>Weather</a><li><a href=c>All the news of the upper valley</a></ul>", "---"),
+    ("<table><tr><td><a href=a>One</a></td><td><a href=b>Two</a></td></tr></table>", "--"),
+    ("", ""),
+)
+NOTICES = (
+    ("<div class=ad>Buy the new lamp today, it is bright.</div>", "-"),
+    ("<div class=ad>New lamps.</div>", "-"),
+    ("<div class=banner>The best of all lamps from the shop by the old bridge. Come in. It is dry.</div>", "-"),
+    ("<div id=cookie-notice><p>We use cookies.</p><a href=x>More about it</a></div>", "--"),
+    ("<div class=ad>Lamps of all kinds, made by hand.<br>Sold here.</div>", "-"),
+    ("", ""),
+)
+ARTICLES = (
+    (f"<article><h1>The flood</h1><p>{_A}</p><p>It rose.</p><p>{_B}</p><p>Rain.</p></article>", "+++++"),
+    (f"<article><h1>What the valley remembers of the water</h1><p><b>{_A} {_C}<br><p>{_D}</p><p>{_B}</p><p>And then the sun came out again over all of it.</p></article>", "+++++"),
+    (f"<div class=content><h2>After the flood</h2><div>{_B}</div><div>{_C} <a href=x>See the list</a></div><div>{_A}</div></div>", "++++"),
+    (f"<main><h1>Levels</h1><p>{_C}</p><ul><li>First came the rain.</li><li>Then <a href=w>wind</a> from the west.</li></ul><p>{_A} {_B}</p><p>So it went.</p></main>", "++++++"),
+    (f"<article><header><h1>Title of it</h1></header><p>{_D}</p><p>{_A} {_C}</p><h3>Later</h3><p><a href=q>{_C}</a></p><p>{_B}</p><p>Nine barns stand.</p></article>", "+++++++"),
+    (f"<div><h1>A word | and | another | of the flood</h1><p>{_A} {_B} {_C}</p><p>No.</p><p>Only one man stayed.</p><p>{_D}</p></div>", "+++++"),
+    (f"<table><tr><td>{_A} {_B}</td></tr><tr><td>{_C}</td></tr></table>", "++"),
+    ("<article><h1>Closed</h1><p>No paper today.</p></article>", "++"),
+    ("<article><p>No paper today, as the house is under water.</p></article>", "+"),
+    (f"<article><p>{_B}</p><pre>level 4\nlevel 5</pre><blockquote>{_D}</blockquote><p>{_A}</p></article>", "++++"),
+)
+TAILS = (
+    ("<footer>&copy; valley.example &middot; Printed in the valley by the sons of the old printer, for all.</footer>", "-"),
+    ("<footer>(c) Valley Press</footer>", "-"),
+    ("<div><a href=a>Older</a></div><div><a href=b>Newer stories of the valley and of its mills</a></div><footer>Terms of use</footer>", "---"),
+    ("<div class=share><a href=s>Share</a> <a href=t>Send this to a friend</a></div><div class=copyright>All rights kept by the writers and the paper.</div>", "--"),
+    ("<div class=footer>Valley Press, the house by the bridge. Ring twice. We are open all days but one.</div>", "-"),
+    ("", ""),
+)
+#: Parts whose text reads like an article's; only their names tell.
+NAMED = (
+    (f"<section id=comments><p>{_C}</p><p>I was there and it was worse than that, believe me.</p></section>", "--"),
+    (f"<aside><h3>Most read</h3><p>{_B}</p></aside>", "--"),
+    (f"<form><p>Your mail address please</p><p>{_C}</p></form>", "--"),
+    (f"<footer><p>{_A} {_D}</p></footer>", "-"),
+    (f"<div class=sidebar><p>{_D} {_C}</p><ul><li><a href=e>Ten lamps</a></li></ul></div>", "--"),
+)
+
+
+def labelled() -> list[tuple[str, str]]:
+    """Pages of every head, notice and article, with tails and parts that only their names tell in turn; each with and without names."""
+    out = []
+    for i, parts in enumerate(product(HEADS, NOTICES, ARTICLES)):
+        parts = (*parts, TAILS[(i + i // 10) % len(TAILS)])
+        page, marks = ("".join(p[k] for p in parts) for k in (0, 1))
+        out += [(page, marks), (nameless(page), marks)]
+        parts = (*parts[:3], NAMED[i % len(NAMED)], parts[3])
+        out.append(("".join(p[0] for p in parts), "".join(p[1] for p in parts)))
+    return out
+
+
+def nameless(page: str) -> str:
+    """A page whose elements say nothing of what they are for: landmarks are plain divisions, without attributes."""
+    page = re.sub(r"<(/?)(?:nav|header|footer|aside|main|article|section|form)\b[^>]*>", r"<\1div>", page)
+    return re.sub(r"<(div|p|ul|table)\s[^>]*>", r"<\1>", page)
 
 
 @lru_cache(maxsize=1)
 def tree() -> stats.Node:
     """The decision tree of the labelled table."""
     rows, labels = [], []
-    for page, marks in LABELLED:
+    for page, marks in labelled():
         found = blocks(page)
         if len(found) != len(marks):
             raise ValueError(f"{len(found)} blocks, {len(marks)} labels: {[b.text[:20] for b in found]}")
         rows.append(features(found))
         labels += [m == "+" for m in marks]
-    return stats.grow(np.vstack(rows), np.array(labels, float))
+    return stats.grow(np.vstack(rows), np.array(labels, float), depth=8, least=3)
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, root: stats.Node | None = None) -> str:
     """The blocks that the tree takes for the article, joined by newlines."""
+    root = root or tree()
     found = blocks(page or "")
     if not found:
         return ""
-    root = tree()
-    return "\n".join(b.text for b, row in zip(found, features(found).tolist(), strict=True) if stats.share(root, row) >= 0.5)
+    return "\n".join(b.text for b, share in zip(found, stats.shares(root, features(found)).tolist(), strict=True) if share >= 0.5)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row."""
+    root = tree()  # grown once, and sent with the plan
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(p) for _, some in kernels.text_lists(batch.column(2)) for p in some]
+            texts = [main_text(p, root) for _, some in kernels.text_lists(batch.column(2)) for p in some]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return mapped(pick(pages, **{id_col: "long", url_col: "string", html_col: "string"}), run, "page_id long, url string, text string, n_chars long")

@@ -1,11 +1,12 @@
 """Personal data by weak supervision: labelers vote, EM weighs them, a span classifier decides.
 
-Four kinds of spans are found: email, ip, card, phone.  The base spans are fixed patterns (BASE) and
-always stay.  Wider patterns propose further candidates: written-out addresses, phone numbers without
-a plus, cards with other separators, IPv6 (also with `::`).  For every candidate, base ones too, LABELERS vote yes, no
+Five kinds of spans are found: email, ip, card, phone and secret (keys, tokens, passwords).  The base
+spans are fixed patterns (BASE) and always stay; secrets have none.  Wider patterns propose further candidates: written-out
+addresses, phone numbers without a plus, cards with other separators, IPv6 (also with `::`), values assigned to a
+name of secrets, and long runs of letters and digits.  For every candidate, base ones too, LABELERS vote yes, no
 or nothing: a form pattern, a validity check, a gazetteer (domain endings, card issuers, address
-ranges, dialling codes), the words before it, and what touches it.  Votes are counted over all
-documents by pattern (a bounded table: 4 kinds, 3 votes of 5 labelers, 4 lengths), expectation-
+ranges, dialling codes, key prefixes), the words before it, and what touches it.  Votes are counted over all
+documents by pattern (a bounded table: 5 kinds, 3 votes of 5 labelers, 4 lengths), expectation-
 maximisation estimates each labeler's reliability from these counts, and a logistic classifier over
 votes, kind and length is trained on the resulting probabilities.  Candidates that it accepts and that
 touch no base span are added.
@@ -29,15 +30,17 @@ from pyspark.sql import functions as F
 from . import kernels, stats
 from .tables import cut, mapped, pick
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
 #: The base patterns.  Possessive repeats and look-behinds change no match; they keep failing places linear.
 EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
-#: Every match of a base or wide pattern holds one of these; texts without them are not scanned.
-ANY = re.compile(r"[0-9@]|[\[({]at[\])}]|\sat\s|:[0-9a-f:]", re.I)
+#: Every match of a base or wide pattern, but values assigned to a name of secrets, holds one of these; each kind has its own.
+DIGIT = re.compile("[0-9]")
+AT = re.compile(r"@|[\[({]at[\])}]|\sat\s", re.I)
+COLON = re.compile(r":[0-9a-f:]", re.I)
 
 WIDE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\s?(?:\[at\]|\(at\)|\{at\}|(?<=\s)at(?=\s)|@)\s?[A-Za-z0-9-]{1,63}+(?:(?:\s?(?:\[dot\]|\(dot\)|\{dot\}|(?<=\s)dot(?=\s))\s?|\.)[A-Za-z0-9-]{1,63}+){1,4}", re.I)
 _RUN = r"[0-9a-f]{1,4}(?::[0-9a-f]{1,4})"
@@ -45,6 +48,13 @@ _RUN = r"[0-9a-f]{1,4}(?::[0-9a-f]{1,4})"
 WIDE_IP = re.compile(rf"(?:(?<![0-9A-Za-z:.])|(?<=[g-z]:))(?:{_RUN}{{7}}|(?:{_RUN}{{0,6}})?::(?:{_RUN}{{0,6}})?)(?![0-9A-Za-z]|:[0-9A-Za-z:]|\.[0-9])", re.I)
 WIDE_CARD = re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[./_\x20-]{1,2}[0-9]{4}){3}(?![0-9A-Za-z])")
 WIDE_PHONE = re.compile(r"(?<![0-9A-Za-z+.,-])(?:(?:\+|00)[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?[\x20./-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z])")
+_NAMES = r"(?:secret|token|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)"
+_SIGN = r"[A-Za-z0-9+/_=~-]"
+_WORDS = ("secret", "token", "passw", "pwd", "key", "credential")
+#: A value of eight signs or more that is assigned to a name of secrets; runs of sixteen or more, of which those with digits and letters count.
+ASSIGNED = re.compile(rf"{_NAMES}[\w-]{{0,32}}+[\"']?\s{{0,4}}(?:=>|:=|[=:])\s{{0,4}}[\"']?((?:{_SIGN}|[.!@#$%^&*]){{8,512}}+)", re.I)
+RUN = re.compile(rf"{_SIGN}{{16,}}+")
+KEY = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|(?:sk|pk|rk)[-_](?:live|test|proj)?[-_]?[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{10,}")
 #: Gazetteers and context words: fixed values.
 ENDINGS = frozenset("com org net edu gov mil int info biz name io ai co me tv eu de fr es it nl be at ch uk us ca au nz jp cn in br mx ar ru pl se no fi dk pt ie cz".split())
 NEAR = {
@@ -52,8 +62,11 @@ NEAR = {
     "ip": frozenset("ip host server address node peer client remote adresse servidor".split()),
     "card": frozenset("card visa mastercard amex credit debit payment karte carte tarjeta".split()),
     "phone": frozenset("phone tel telephone call fax mobile cell telefon téléphone teléfono whatsapp".split()),
+    "secret": frozenset("secret token password passwd pwd passwort key apikey api_key api-key access_key private_key auth bearer credential credentials".split()),
 }
 FAR = frozenset("version v release isbn issn doi page chapter section order invoice serial build rfc nr art §".split())
+#: Words before a run that is a checksum or a name, not a secret.
+PUBLIC = frozenset("commit sha sha1 sha256 sha512 md5 checksum hash digest revision uuid id public fingerprint etag http https www file path".split())
 YES, NO, NONE = 1, 0, 2
 
 Span = tuple[int, int]
@@ -103,25 +116,46 @@ def phones(text: str) -> Iterator[Span]:
 
 
 BASE: tuple[Callable[[str], Iterator[Span]], ...] = (emails, ips, cards, phones)
-WIDE = (WIDE_EMAIL, WIDE_IP, WIDE_CARD, WIDE_PHONE)
+
+
+def _matches(pattern: re.Pattern, sieve: re.Pattern) -> Callable[[str], Iterator[Span]]:
+    """The pattern's matches, of which each text with one holds a match of `sieve`."""
+    return lambda text: (m.span() for m in pattern.finditer(text)) if sieve.search(text) else iter(())
+
+
+def _ipv6(text: str) -> Iterator[Span]:
+    for m in WIDE_IP.finditer(text) if COLON.search(text) else ():
+        if "::" not in m.group() or 1 <= sum(map(bool, m.group().split(":"))) <= 7:
+            yield m.span()
+
+
+def _secrets(text: str) -> Iterator[Span]:
+    low = text.lower()
+    spans = [m.span(1) for m in ASSIGNED.finditer(text)] if any(w in low for w in _WORDS) else []
+    yield from spans
+    for m in RUN.finditer(text) if DIGIT.search(text) else ():
+        a, b = m.span()
+        run = m.group()
+        if any("0" <= c <= "9" for c in run) and any(c.isalpha() for c in run) and all(b <= c or d <= a for c, d in spans):
+            yield a, b
+
+
+WIDE: tuple[Callable[[str], Iterator[Span]], ...] = (_matches(WIDE_EMAIL, AT), _ipv6, _matches(WIDE_CARD, DIGIT), _matches(WIDE_PHONE, DIGIT), _secrets)
 
 
 def base_spans(text: str) -> list[list[Span]]:
-    """The base spans of each kind."""
-    return [list(find(text)) for find in BASE]
+    """The base spans of each kind; secrets have none."""
+    if not DIGIT.search(text):
+        return [list(emails(text)), [], [], [], []]
+    return [*(list(find(text)) for find in BASE), []]
 
 
 def wider(text: str, taken: list[list[Span]]) -> Iterator[tuple[int, Span]]:
     """Further candidates that touch no base span."""
     flat = sorted(s for spans in taken for s in spans)
     starts = np.array([s for s, _ in flat], np.int64)
-    for kind, pattern in enumerate(WIDE):
-        if kind == 1 and ":" not in text:
-            continue
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            if kind == 1 and "::" in m.group() and not 1 <= sum(map(bool, m.group().split(":"))) <= 7:
-                continue
+    for kind, find in enumerate(WIDE):
+        for a, b in find(text):
             i = int(np.searchsorted(starts, b)) - 1
             if i < 0 or flat[i][1] <= a:
                 yield kind, (a, b)
@@ -145,6 +179,8 @@ def votes(kind: int, text: str, a: int, b: int) -> tuple[int, ...]:
         form = YES if re.fullmatch(r"[0-9]{13,19}|(?:[0-9]{4}([ ./_-]{1,2}))(?:[0-9]{4}\1){2}[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}", span) else NO
         valid = YES if 13 <= len(number) <= 19 and luhn(number) else NO
         listed = YES if re.match(r"4|5[1-5]|2[2-7]|3[47]|35|36|6", number) else NO
+    elif kind == 4:
+        return _secret_votes(text, a, b)
     else:
         form = YES if re.fullmatch(r"(?:\+|00)[0-9 ().-]+|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", span) else NO
         valid = YES if 9 <= len(number) <= 15 else NO
@@ -157,8 +193,28 @@ def votes(kind: int, text: str, a: int, b: int) -> tuple[int, ...]:
     return form, valid, listed, context, touch
 
 
+def _secret_votes(text: str, a: int, b: int) -> tuple[int, ...]:
+    span = text[a:b]
+    parts = [p for p in re.split(r"[+/_=~.-]+", span) if p]
+    wordy = len(parts) > 1 and sum(p.isalpha() and len(p) < 12 for p in parts) * 2 > len(parts)
+    listed = YES if KEY.match(span) else NO if wordy or re.search(r"\.(?:com|org|net|html?|php|png|jpe?g|pdf)$", span, re.I) else NONE
+    form = YES if listed == YES or re.fullmatch(r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}", span, re.I) else NO if wordy or len(set(span)) < 6 else NONE
+    counts = np.unique(np.frombuffer(span.encode()[:512], np.uint8), return_counts=True)[1] / min(len(span.encode()), 512)
+    spread = float(-(counts * np.log2(counts)).sum())
+    valid = YES if spread >= 3 and len(digits(span)) * 20 >= len(span) else NO if spread < 2.5 else NONE
+    before = text[max(0, a - 48) : a].casefold()
+    near = re.findall(r"[^\W_](?:[\w-]*\w)?", before)[-3:]
+    named = any(w in NEAR["secret"] or re.search(_NAMES, w) for w in near)
+    context = YES if named else NO if any(w in PUBLIC for w in near) else NONE
+    left, right = text[a - 1 : a], text[b : b + 1]
+    touch = YES if left and left in "\"'=:" or right and right in "\"'" else NO if left and left in "#$@" else NONE
+    return form, valid, listed, context, touch
+
+
 LABELERS = 5
 PATTERNS = len(KINDS) * 3**LABELERS * 4
+#: Pseudo-votes no, yes and nothing that each labeler has cast on true and on false candidates.
+FOR_TRUE, FOR_FALSE = np.array([1.0, 3.0, 1.0]), np.array([3.0, 1.0, 1.0])
 
 
 def coded(kind: int, marks: tuple[int, ...], length: int) -> int:
@@ -185,11 +241,10 @@ def reliabilities(marks: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np
     total = counts.sum()
     for _ in range(rounds):
         log = []
-        for weight in (p * counts, (1 - p) * counts):
-            # a prior of a few pseudo-votes keeps a labeler that never errs from deciding alone, and keeps the classes' sides
+        # a prior of a few pseudo-votes keeps a labeler that never errs from deciding alone, and keeps the classes' sides
+        for weight, prior in ((p * counts, FOR_TRUE), ((1 - p) * counts, FOR_FALSE)):
             sure = np.log((weight.sum() + 1) / (total + 2)) + np.zeros(len(p))
             for j in range(LABELERS):
-                prior = np.array([1.0, 3.0, 1.0]) if weight is log or not log else np.array([3.0, 1.0, 1.0])
                 seen = np.bincount(marks[:, j], weights=weight, minlength=3) + prior
                 sure += np.log(seen / seen.sum())[marks[:, j]]
             log.append(sure)
@@ -223,8 +278,6 @@ def accepted(table: dict[int, int]) -> list[int]:
 
 def _found(text: str) -> tuple[list[list[Span]], list[tuple[int, Span, int]], list[int]]:
     """Base spans, further candidates with their codes, and the codes of all."""
-    if not ANY.search(text):
-        return [[], [], [], []], [], []
     base = base_spans(text)
     codes = [coded(k, votes(k, text, a, b), b - a) for k, spans in enumerate(base) for a, b in spans]
     more = [(k, s, coded(k, votes(k, text, *s), s[1] - s[0])) for k, s in wider(text, base)]
@@ -247,9 +300,9 @@ def _written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def detect(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) of every row.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_secret, n_spans) of every row.
 
-    The counts are of base spans.  Candidates of all rows are written once to the shared checkpoint
+    n_email to n_phone count base spans, n_added what the method adds, n_secret the secrets of these, n_spans all.  Candidates of all rows are written once to the shared checkpoint
     folder, without the texts; the vote counts and then the result are made from there.
     """
 
@@ -265,23 +318,25 @@ def detect(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             written = [_written([(k, x, y) for k, spans in enumerate(b) for x, y in spans]) for b in base]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array([len(b[k]) for b in base], pa.int64()) for k in range(4)), pa.array([hashlib.sha256(w.encode()).hexdigest() for w in written]), pa.array(written), pa.array(more), pa.array(codes, pa.list_(pa.int32()))],
-                ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "more", "codes"],
+                ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base_sha256", "base", "more", "codes"],
             )
 
-    counts = ", ".join(f"n_{k} long" for k in KINDS)
+    counts = ", ".join(f"n_{k} long" for k in KINDS[:4])
     found = cut(mapped(pick(documents, **{id_col: "long", text_col: "string"}), run, f"doc_id long, {counts}, base_sha256 string, base string, more string, codes array<int>"))
     yes = frozenset(accepted({r["code"]: r["n"] for r in found.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n")).collect()}))
 
     def finish(batches):
         for batch in batches:
             base, more = batch.column(6).to_pylist(), batch.column(7).to_pylist()
-            spans, added = [], []
+            spans, added, secret, total = [], [], [], []
             for b, m in zip(base, more, strict=True):
                 if not m:
                     spans.append(b)
                     added.append(0)
+                    secret.append(0)
+                    total.append(b.count(",") + 1 if b else 0)
                     continue
-                own: list[list[Span]] = [[], [], [], []]
+                own: list[list[Span]] = [[] for _ in KINDS]
                 for x in filter(None, b.split(",")):
                     kind, i, j = x.split(":")
                     own[KINDS.index(kind)].append((int(i), int(j)))
@@ -289,9 +344,11 @@ def detect(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 every = _joined(own, extra, yes)
                 spans.append(_written(every))
                 added.append(len(every) - sum(map(len, own)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), pa.array(spans, pa.string()), pa.array(added, pa.int64())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+                secret.append(sum(k == 4 for k, _, _ in every))
+                total.append(len(every))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), pa.array(spans, pa.string()), *(pa.array(x, pa.int64()) for x in (added, secret, total))], ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base_sha256", "spans", "n_added", "n_secret", "n_spans"])
 
-    return mapped(found, finish, f"doc_id long, {counts}, base_sha256 string, spans string, n_added long")
+    return mapped(found, finish, f"doc_id long, {counts}, base_sha256 string, spans string, n_added long, n_secret long, n_spans long")
 
 
 def learn(documents: DataFrame, text_col: str = "text") -> frozenset[int]:

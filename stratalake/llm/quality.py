@@ -1,9 +1,10 @@
 """Quality scores by compression with dictionaries of good and of bad text.
 
 `fit` builds two zstandard dictionaries from labelled training texts, one of each label.  A text is
-compressed with either; a document compresses best with the dictionary of what it resembles.  The
-difference of both sizes over the text's size, and the two normalised sizes themselves, go through a
-logistic calibration fitted on training rows that no dictionary holds.  The score is the probability of label 1.
+compressed with either, and with none; a document compresses best with the dictionary of what it resembles.  The
+difference of both sizes, over their sum and over the text's size, the three normalised sizes and the logarithm of
+the text's size, with squares and three products, go through a penalised logistic calibration fitted on training
+rows that no dictionary holds.  The score is the probability of label 1.
 
 The fit takes a bounded sample of the labelled training rows: the SAMPLE rows of each label with the
 smallest hash of their id (documented bound; the driver holds that many whole texts; a dictionary takes
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import kernels
+from . import kernels, stats
 from .tables import mapped, pick
 
 SAMPLE = 2000
@@ -35,6 +36,7 @@ DICT_BYTES = 96 << 10
 PASSAGE = 300
 LEVEL = 6
 FEATURES = 6
+PENALTY = 5e-4
 
 
 @dataclass
@@ -80,11 +82,7 @@ class Scorer:
     def scores(self, texts: list) -> np.ndarray:
         if self.model.constant is not None:
             return np.full(len(texts), self.model.constant)
-        return _sigmoid(_design(self.features(texts), self.model) @ self.model.weights)
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+        return stats.sigmoid(_design(self.features(texts), self.model) @ self.model.weights)
 
 
 def _design(x: np.ndarray, model: Model) -> np.ndarray:
@@ -92,22 +90,8 @@ def _design(x: np.ndarray, model: Model) -> np.ndarray:
     return np.column_stack([np.ones(len(z)), z, z[:, :5] ** 2, z[:, 0] * z[:, 4], z[:, 1] * z[:, 4], z[:, 0] * z[:, 5]])
 
 
-def _logistic(design: np.ndarray, label: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
-    """Penalised maximum likelihood by Newton's method."""
-    w = np.zeros(design.shape[1])
-    for _ in range(40):
-        p = _sigmoid(design @ w)
-        gradient = design.T @ (p - label) + penalty * len(label) / 100 * w
-        hessian = (design * (p * (1 - p) + 1e-9)[:, None]).T @ design + penalty * len(label) / 100 * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
-
-
 def fit(texts: list[str], labels: list[int]) -> Model:
-    """A model of labelled texts: every second row feeds a dictionary, the others calibrate, and back."""
+    """A model of labelled texts: every second row of each label feeds a dictionary, the others calibrate."""
     data = [t.encode() for t in texts]
     y = np.array(labels, float)
     if len(set(labels)) < 2 or min(np.bincount(np.array(labels, int))) < 4:
@@ -119,7 +103,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     x = Scorer(model).features([data[i] for i in hold])
     model.centre, model.spread = x.mean(0), x.std(0) + 1e-9
     # rows weigh as their label's share of all labels, which the sample of each label evens out
-    model.weights = _logistic(_design(x, model), y[hold])
+    design = _design(x, model)
+    model.weights = stats.logistic(design, y[hold], np.ones(len(design)), PENALTY * len(design))
     return model
 
 

@@ -12,16 +12,25 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def logistic(design: np.ndarray, label: np.ndarray, weight: np.ndarray, penalty: float) -> np.ndarray:
-    """Penalised maximum likelihood by Newton's method; labels may be probabilities."""
+    """Penalised maximum likelihood by Newton's method, each step halved until the likelihood rises; labels may be probabilities."""
+
+    def loss(w: np.ndarray) -> float:
+        x = design @ w
+        return float(weight @ (np.logaddexp(0, x) - label * x) + penalty / 2 * w @ w)
+
     w = np.zeros(design.shape[1])
-    for _ in range(50):
+    now = loss(w)
+    for _ in range(100):
         p = sigmoid(design @ w)
         gradient = design.T @ (weight * (p - label)) + penalty * w
-        hessian = (design * (weight * p * (1 - p) + 1e-9)[:, None]).T @ design + penalty * np.eye(len(w))
+        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + penalty * np.eye(len(w))
         step = np.linalg.solve(hessian, gradient)
-        w -= step
-        if np.abs(step).max() < 1e-9:
+        scale = 1.0
+        while (after := loss(w - scale * step)) > now and scale > 1e-9:
+            scale /= 2
+        if after > now or np.abs(scale * step).max() < 1e-9:
             break
+        w, now = w - scale * step, after
     return w
 
 
@@ -60,7 +69,11 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1) -> Node:
     return node
 
 
-def share(node: Node, row) -> float:
-    while node.left is not None:
-        node = node.left if row[node.feature] <= node.bound else node.right
-    return node.share
+def shares(node: Node, x: np.ndarray) -> np.ndarray:
+    """The share of positive rows in each row's leaf."""
+    if node.left is None:
+        return np.full(len(x), node.share)
+    left = x[:, node.feature] <= node.bound
+    out = np.empty(len(x))
+    out[left], out[~left] = shares(node.left, x[left]), shares(node.right, x[~left])
+    return out
