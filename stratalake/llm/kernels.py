@@ -173,7 +173,7 @@ def shingles(found: Words, k: int = 5, short: bool = True) -> Shingles:
     count = np.diff(found.bounds)
     n = len(found.hashes)
     full = np.zeros(max(0, n - k + 1), np.uint64)
-    for j in range(k):
+    for j in range(k if len(full) else 0):
         full += (found.hashes[j : n - k + 1 + j] ^ salt[j]) * (salt[j] | np.uint64(1))
     inside = np.zeros(n + 1, np.int64)
     inside[found.bounds[:-1][count > 0]] += 1

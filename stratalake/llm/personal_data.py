@@ -194,20 +194,21 @@ def votes(kind: int, text: str, a: int, b: int) -> tuple[int, ...]:
 
 
 def _secret_votes(text: str, a: int, b: int) -> tuple[int, ...]:
+    """Randomness, assignment, gazetteers of prefixes and of public names, the words before, quotes."""
     span = text[a:b]
     parts = [p for p in re.split(r"[+/_=~.-]+", span) if p]
     wordy = len(parts) > 1 and sum(p.isalpha() and len(p) < 12 for p in parts) * 2 > len(parts)
-    listed = YES if KEY.match(span) else NO if wordy or re.search(r"\.(?:com|org|net|html?|php|png|jpe?g|pdf)$", span, re.I) else NONE
-    form = YES if listed == YES or re.fullmatch(r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}", span, re.I) else NO if wordy or len(set(span)) < 6 else NONE
     counts = np.unique(np.frombuffer(span.encode()[:512], np.uint8), return_counts=True)[1] / min(len(span.encode()), 512)
     spread = float(-(counts * np.log2(counts)).sum())
-    valid = YES if spread >= 3 and len(digits(span)) * 20 >= len(span) else NO if spread < 2.5 else NONE
-    before = text[max(0, a - 48) : a].casefold()
-    near = re.findall(r"[^\W_](?:[\w-]*\w)?", before)[-3:]
-    named = any(w in NEAR["secret"] or re.search(_NAMES, w) for w in near)
-    context = YES if named else NO if any(w in PUBLIC for w in near) else NONE
+    known = KEY.match(span) is not None
+    form = YES if known or not wordy and spread >= 3 and len(digits(span)) * 20 >= len(span) else NO if wordy or spread < 2.5 else NONE
+    valid = YES if re.search(r"(?:=>|[=:])\s{0,4}[\"']?$", text[max(0, a - 8) : a]) else NONE
+    near = re.findall(r"[^\W_](?:[\w-]*\w)?", text[max(0, a - 48) : a].casefold())[-3:]
+    public = any(w in PUBLIC for w in near)
+    listed = YES if known else NO if wordy or public or re.search(r"\.(?:com|org|net|html?|php|png|jpe?g|pdf)$", span, re.I) else NONE
+    context = YES if any(w in NEAR["secret"] or re.search(_NAMES, w) for w in near) else NO if public else NONE
     left, right = text[a - 1 : a], text[b : b + 1]
-    touch = YES if left and left in "\"'=:" or right and right in "\"'" else NO if left and left in "#$@" else NONE
+    touch = YES if left and left in "\"'" and right and right in "\"'" else NO if left and left in "#$@/" else NONE
     return form, valid, listed, context, touch
 
 
