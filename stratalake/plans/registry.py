@@ -6,28 +6,15 @@ Folds whose steps depend on earlier steps have no SQL; the tests hold them again
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import checksums, rules
+from ..functions import checksums
 from ..operators import admission, intervals, layers, lookup, overlay, trace
 from . import inputs
+from .book import ORACLE, QUERIES, registered
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def registered(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(query: Query) -> Query:
-        QUERIES[query.__name__] = query
-        if sql is not None:
-            ORACLE[query.__name__] = inputs.SQL + sql
-        return query
-
-    return add
+__all__ = ["ORACLE", "QUERIES"]
 
 
 def live_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,7 +291,5 @@ def checksum_crc32c(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.table(spark, sf_dir, "pages").select("page_id", checksums.salted_crc32c(F.encode("html", "utf-8")).alias("crc"))
 
 
-@registered("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 30 ELSE least(o_orderkey, 604800) * 8 // 10 END AS lifetime_s FROM orders")
-def rule_token_lifetime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stated = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderkey"))
-    return inputs.table(spark, sf_dir, "orders").select("o_orderkey", rules.token_lifetime(stated).alias("lifetime_s"))
+# the other modules add theirs to the same book
+from . import entry_queries, file_queries, log_queries, range_queries, rule_queries  # noqa: E402, F401

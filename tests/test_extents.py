@@ -125,17 +125,23 @@ def test_raw_crc32c_of_trace_records():
 
 def test_rules(spark):
     one = spark.range(1)
-    got = one.select(
-        rules.token_lifetime(F.lit(None).cast("long")).alias("a"),
-        rules.token_lifetime(F.lit(100).cast("long")).alias("b"),
-        rules.token_lifetime(F.lit(10**9).cast("long")).alias("c"),
-        rules.normal_path(F.lit("./a//b/")).alias("d"),
-        rules.normal_path(F.lit("a/../b")).alias("e"),
-        rules.content_range(F.lit("bytes 0-9/*")).alias("f"),
-        rules.pax_time(F.lit("-1.25")).alias("g"),
-    ).first()
-    assert (got.a, got.b, got.c, got.d, got.e) == (30, 80, 483840, "a/b", None)
-    assert tuple(got.f) == (0, 9, None) and tuple(got.g) == (-2, 750_000_000)
+    path = lambda text, directory=False: rules.normal_path(F.lit(text), F.lit(directory))
+    expected = {
+        "lifetimes": ([rules.token_lifetime_ms(F.lit(n).cast("long")) for n in (None, -5, 0, 1, 100, 10**9)], [30_000, 30_000, 0, 800, 80_000, 483_840_000]),
+        "paths": ([path("./a/b"), path("././a"), path("a//b"), path("a/./b"), path("a/b/"), path("a/b/", True), path("/a"), path("a/../b"), path("."), path("./", True), path("x" * 256)], ["a/b", "a", None, None, None, "a/b", None, None, None, "", None]),
+        "statuses": ([rules.status_error(F.lit(n)) for n in (401, 403, 404, 416, 429, 408, 500, 504)], ["EPERM", "EPERM", "ENOENT", "ERANGE", "EBUSY", "EIO", "EIO", "EIO"]),
+        "challenges": ([rules.challenge(F.lit(t))["realm"] for t in ('Bearer realm="r", service="s"', 'bearer service="s"', 'Digest realm="r"', 'Basic realm="r"', 'Bearer realm="a",realm="b"', 'Bearer x=1,realm="r"')], ["r", None, None, "r", "b", None]),
+        "ranges": ([rules.content_range(F.lit(t))["first"] for t in ("bytes 5-9/*", "bytes 5-9/20", "bytes 5/9-1", "byte 5-9/20", "bytes x-9/20", "bytes 5x-9/20z")], [5, 5, None, None, None, 5]),
+        "proxies": ([rules.proxy_address(F.lit(t))["base"] for t in ("h:80", "http://h:80/p/q", "h", ":80", "h:0", "h:70000", "a:b:1")], ["http://h:80/dart", "http://h:80/p/q", None, None, None, None, "http://a:b:1/dart"]),
+        "devices": ([rules.device_id(F.lit(t)) for t in ("/dev/ublkb12", "/dev/ublkb", "/dev/sda1", "/dev/ublkb1x")], [12, -1, -1, -1]),
+        "times": ([rules.pax_time(F.lit(t))["s"] for t in ("-1.25", "+3", "1.", "1.0000000001", "1.0000000010", "99999999999", "x")], [-2, 3, None, None, 1, None, None]),
+        "numbers": ([rules.tar_number(F.unhex(F.lit(t))) for t in ("3030303634340000", "8000000000000100", "FF00000000000000", "20203737", "3839", "000000")], [0o644, 256, None, 63, None, 0]),
+    }
+    for name, (columns, want) in expected.items():
+        assert list(one.select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).first()) == want, name
+    topo = lambda *n: rules.topology(*[F.lit(x).cast("int") for x in n])
+    got = one.select(*[t.alias(f"c{i}") for i, t in enumerate([topo(4, 0, 0, None), topo(20, 0, 0, None), topo(4, 3, 0, None), topo(4, 0, 5, None), topo(4, 6, 5, None), topo(4, 0, 0, 2), topo(4, 3, 0, 2), topo(4, 300, 0, None), topo(4, 0, 1, 2)])]).first()
+    assert [(t.queues, t.workers, t.error is None) for t in got] == [(4, 4, True), (8, 8, True), (3, 3, True), (5, 5, True), (None, None, False), (2, 2, True), (None, None, False), (None, None, False), (None, None, False)]
 
 
 def test_hard_links_follow_chains_and_leave_loops(spark):
