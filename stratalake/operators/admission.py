@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -16,18 +17,31 @@ def window_fold(samples: DataFrame, start: int = 4, low: int = 1, high: int = 64
     """(device, samples, baseline, window) after latency samples (device, ordinal, nanos), in integer arithmetic.
 
     The first sample only anchors the baseline.  A sample above `rise` percent of it shrinks the window to `down`
-    percent, any other grows it by `step`; then the baseline moves an eighth towards the sample.
+    percent, any other grows it by `step`; then the baseline moves an eighth towards the sample.  A device's samples
+    stream through one task in order, with three numbers of state.
     """
-    ordered = samples.groupBy("device").agg(F.count("*").alias("samples"), F.sort_array(F.collect_list(F.struct("ordinal", F.greatest("nanos", F.lit(floor)).cast("long").alias("s")))).alias("line"))
-    zero = F.struct(F.lit(-1).cast("long").alias("b"), F.lit(min(max(start, low), high)).cast("long").alias("w"))
-    div = lambda a, b: F.call_function("div", a, F.lit(b))
-
-    def step_of(state, x):
-        s, b, w = x["s"], state["b"], state["w"]
-        grown = F.when(s > div(b * rise, 100), F.greatest(F.lit(low).cast("long"), div(w * down, 100))).otherwise(F.least(F.lit(high).cast("long"), w + step))
-        return F.when(b < 0, F.struct(s.alias("b"), w.alias("w"))).otherwise(F.struct(div(b * 7 + s, 8).alias("b"), grown.alias("w")))
-
-    return ordered.select("device", "samples", F.aggregate("line", zero, step_of).alias("end")).select("device", "samples", F.col("end.b").alias("baseline"), F.col("end.w").alias("window"))
+    order = samples.select(F.col("device").cast("long").alias("device"), "ordinal", F.greatest("nanos", F.lit(floor)).cast("long").alias("s"))
+
+    def run(batches):
+        device, n, base, window = None, 0, 0, 0
+        for batch in batches:
+            done = []
+            for d, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if d != device or not n:
+                    if n:
+                        done.append((device, n, base, window))
+                    device, n, base, window = d, 1, s, min(max(start, low), high)
+                    continue
+                window = max(low, window * down // 100) if s > base * rise // 100 else min(high, window + step)
+                base, n = (base * 7 + s) // 8, n + 1
+            yield folded(done)
+        if n:
+            yield folded([(device, n, base, window)])
+
+    def folded(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["device", "samples", "baseline", "window"])
+
+    return order.repartition("device").sortWithinPartitions("device", "ordinal").mapInArrow(run, "device long, samples long, baseline long, window long")
 
 
 def admission_order(waiting: DataFrame) -> DataFrame:
@@ -65,3 +79,15 @@ def single_flights(fetches: DataFrame) -> DataFrame:
     fresh = F.coalesce(F.col("start") >= reach, F.lit(True))
     lead = F.last(F.when(fresh, F.col("start")), ignorenulls=True).over(order.rowsBetween(W.Window.unboundedPreceding, 0))
     return fetches.withColumn("flight", lead).withColumn("joined", ~fresh)
+
+
+def counters(events: DataFrame) -> DataFrame:
+    """(device, event, n): how often each kind of event occurred."""
+    return events.groupBy("device", "event").agg(F.count("*").alias("n"))
+
+
+def recoveries(events: DataFrame, most: int) -> DataFrame:
+    """(device, generation, exits, given_up) of a device's events (device, ordinal, outcome); a generation begins when it runs, and more than `most` exits in one end it."""
+    order = W.Window.partitionBy("device").orderBy("ordinal").rowsBetween(W.Window.unboundedPreceding, 0)
+    rows = events.withColumn("generation", F.sum((F.col("outcome") == "running").cast("long")).over(order))
+    return rows.groupBy("device", "generation").agg(F.count_if(F.col("outcome") == "exit").alias("exits")).withColumn("given_up", F.col("exits") > most)

@@ -102,19 +102,26 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return cover(a.select("device", "offset", "length").unionByName(b.select("device", "offset", "length")))
 
 
-def _bucketed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("bucket", F.explode(F.sequence(bits.div(F.col("offset"), GRANULE), bits.div(_end() - 1, GRANULE))))
+def _bucketed(rows: DataFrame, shift: int) -> DataFrame:
+    return rows.withColumn("bucket", F.explode(F.sequence(F.shiftright("offset", shift), F.shiftright(_end() - 1, shift))))
+
+
+def _width(a: DataFrame, b: DataFrame) -> int:
+    """The power of two above the mean length of both sides' ranges, 4 at least and GRANULE at most: most ranges then touch one or two buckets, and a bucket holds few."""
+    mean = a.select("length").unionByName(b.select("length")).agg(F.avg("length")).first()[0] or 1
+    return min(GRANULE.bit_length() - 1, max(2, int(mean).bit_length() + 1))
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(device, offset, length, a_offset, b_offset) of every overlapping pair, by an equi-join on granules.
+    """(device, offset, length, a_offset, b_offset) of every overlapping pair, by an equi-join on buckets as wide as the ranges' mean length.
 
-    A pair that shares several granules is taken in the one where its overlap begins.
+    A pair that shares several buckets is taken in the one where its overlap begins.
     """
-    left = _bucketed(a.select("device", "offset", "length")).select("device", "bucket", F.col("offset").alias("a_offset"), _end().alias("a_end"))
-    right = _bucketed(b.select("device", "offset", "length")).select("device", "bucket", F.col("offset").alias("b_offset"), _end().alias("b_end"))
+    shift = _width(a, b)
+    left = _bucketed(a.select("device", "offset", "length"), shift).select("device", "bucket", F.col("offset").alias("a_offset"), _end().alias("a_end"))
+    right = _bucketed(b.select("device", "offset", "length"), shift).select("device", "bucket", F.col("offset").alias("b_offset"), _end().alias("b_end"))
     start, end = F.greatest("a_offset", "b_offset"), F.least("a_end", "b_end")
-    pairs = left.join(right, ["device", "bucket"]).filter((start < end) & (bits.div(start, GRANULE) == F.col("bucket")))
+    pairs = left.join(right, ["device", "bucket"]).filter((start < end) & (F.shiftright(start, shift) == F.col("bucket")))
     return pairs.select("device", start.alias("offset"), (end - start).alias("length"), "a_offset", "b_offset")
 
 
@@ -198,9 +205,11 @@ def fully_data(view: DataFrame, ranges: DataFrame) -> DataFrame:
     """Ranges (device, offset, length) with is_data: whether data covers all of it."""
     ranges = ranges.select("device", "offset", "length").distinct()
     own = ranges.withColumn("range_end", _end())
-    left = _bucketed(own).select("device", "bucket", F.col("offset").alias("r_offset"), "range_end")
-    right = _bucketed(view.filter("not zeroed").select("device", "offset", "length")).select("device", "bucket", "offset", _end().alias("end"))
-    start, end = F.greatest("offset", "r_offset", F.col("bucket") * GRANULE), F.least("end", "range_end", (F.col("bucket") + 1) * GRANULE)
+    data = view.filter("not zeroed").select("device", "offset", "length")
+    shift = _width(own, data)
+    left = _bucketed(own, shift).select("device", "bucket", F.col("offset").alias("r_offset"), "range_end")
+    right = _bucketed(data, shift).select("device", "bucket", "offset", _end().alias("end"))
+    start, end = F.greatest("offset", "r_offset", F.shiftleft("bucket", shift)), F.least("end", "range_end", F.shiftleft(F.col("bucket") + 1, shift))
     sums = left.join(right, ["device", "bucket"]).filter(start < end).groupBy("device", "r_offset", "range_end").agg(F.sum(end - start).alias("held"))
     out = own.join(sums.withColumnRenamed("r_offset", "offset"), ["device", "offset", "range_end"], "left")
     return out.select("device", "offset", "length", (F.coalesce("held", F.lit(0)) == F.col("length")).alias("is_data"))

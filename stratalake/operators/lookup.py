@@ -42,9 +42,11 @@ def pieces(requests: DataFrame, view: DataFrame) -> DataFrame:
     ends = own.select("device", "request", "bucket", "low", "high", F.col("high").alias("offset"), F.col("high").alias("stop"), none.cast("string").alias("state"), none.cast("long").alias("moffset"))
     order = W.Window.partitionBy("device", "request", "bucket").orderBy("offset", "stop")
     all_ = hits.unionByName(ends).withColumn("from", F.coalesce(F.lag("stop").over(order), F.col("low")))
-    holes = all_.filter("from < offset").select("device", "request", F.col("from").alias("offset"), (F.col("offset") - F.col("from")).alias("length"), F.lit("hole").alias("state"), none.cast("long").alias("moffset"))
-    found = all_.filter("state is not null").select("device", "request", "offset", (F.col("stop") - F.col("offset")).alias("length"), "state", "moffset")
-    return found.unionByName(holes)
+    # a row gives the hole before it and itself, so that the join and the window run once
+    piece = lambda low, high, state, moffset: F.struct(low.alias("offset"), (high - low).alias("length"), state.alias("state"), moffset.alias("moffset"))
+    hole = F.when(F.col("from") < F.col("offset"), piece(F.col("from"), F.col("offset"), F.lit("hole"), none.cast("long")))
+    own = F.when(F.col("state").isNotNull(), piece(F.col("offset"), F.col("stop"), F.col("state"), F.col("moffset")))
+    return all_.select("device", "request", F.explode(F.array_compact(F.array(hole, own))).alias("p")).select("device", "request", "p.*")
 
 
 def as_of(points: DataFrame, entries: DataFrame, key: str, at: str, entry_at: str) -> DataFrame:
@@ -124,3 +126,14 @@ def concatenated(reads: DataFrame, meta_size: Column, target_size: Column) -> Da
     parts = F.array(part("metadata", zero, meta_size, zero), part("gap", meta_size, base, meta_size), part("target", base, base + target_size, base))
     out = reads.select("*", F.explode(F.filter(parts, lambda p: p["low"] < p["high"])).alias("p"))
     return out.select(*reads.columns, "p.source", (F.col("p.low") - F.col("p.shift")).alias("source_offset"), (F.col("p.high") - F.col("p.low")).alias("source_count"))
+
+
+def completeness(extents: DataFrame, key: str) -> DataFrame:
+    """(key, extents, held, complete): how many extents of each layer are present, and whether all are."""
+    return extents.groupBy(key).agg(F.count("*").alias("extents"), F.count_if("present").alias("held")).withColumn("complete", F.col("held") == F.col("extents"))
+
+
+def known_layers(trace: DataFrame, layers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Trace records of the layers (device, layer_index), and per device the number of those of unknown layers."""
+    keys = layers.select("device", "layer_index").distinct()
+    return trace.join(keys, ["device", "layer_index"], "left_semi"), trace.join(keys, ["device", "layer_index"], "left_anti").groupBy("device").agg(F.count("*").alias("misses"))

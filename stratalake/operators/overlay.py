@@ -14,10 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from ..functions import bits
-from ..schema import DATA_START, INVALID_OFFSET, MAX_LAYERS, MAX_MOFFSET
+from ..schema import DATA_START, INVALID_OFFSET, MAX_LAYERS, MAX_MOFFSET, SECTOR
 
 LEVELS = 14
 GRANULE = 1 << LEVELS
@@ -82,8 +81,10 @@ def resolve(extents: DataFrame, rank: Column) -> DataFrame:
     null for zeroes.  Segments end at granules; `intervals.coalesce` joins them.
     """
     ready = cells(extents.withColumn("rank", rank.cast("long")).select("device", "offset", "length", "rank", F.col("moffset").cast("long").alias("moffset"), F.col("zeroed").cast("boolean").alias("zeroed"), (F.col("tag") if "tag" in extents.columns else F.lit(0)).cast("int").alias("tag")))
-    best = ready.groupBy("device", "granule", "level", "cell").agg(F.max(F.struct("rank", F.col("offset").alias("base"), "moffset", "zeroed", "tag")).alias("best"))
-    rows = best.repartition("device", "granule").sortWithinPartitions("device", "granule").select("device", "granule", "level", "cell", "best.rank", "best.base", "best.moffset", "best.zeroed", "best.tag")
+    # max_by over numbers is a hash aggregation (a maximum of structs sorts); zeroed and tag go into one of them
+    packed = ready.withColumn("flags", F.col("tag") * 2 + F.col("zeroed").cast("int"))
+    best = packed.groupBy("device", "granule", "level", "cell").agg(F.max("rank").alias("rank"), F.max_by("offset", "rank").alias("base"), F.max_by(F.coalesce("moffset", F.lit(-1).cast("long")), "rank").alias("moffset"), F.max_by("flags", "rank").alias("flags"))
+    rows = best.repartition("device", "granule").sortWithinPartitions("device", "granule").select("device", "granule", "level", "cell", "rank", "base", F.nullif("moffset", F.lit(-1).cast("long")).alias("moffset"), (F.col("flags") % 2 != 0).alias("zeroed"), F.expr("(flags - pmod(flags, 2)) div 2").cast("int").alias("tag"))
 
     def run(batches):
         held: pa.Table | None = None
@@ -172,5 +173,11 @@ def grow(old: Column, new: Column) -> Column:
     return F.when(new >= old, new)
 
 
-def in_device(column: str = "offset") -> W.WindowSpec:
-    return W.Window.partitionBy("device").orderBy(column)
+def content_extents(segments: DataFrame) -> DataFrame:
+    """(device, bytes, least_tag): where the content of each device ends, and the least tag of its segments."""
+    return segments.groupBy("device").agg((F.max(F.col("offset") + F.col("length")) * SECTOR).alias("bytes"), F.min("tag").alias("least_tag"))
+
+
+def zero_mask(view: DataFrame) -> DataFrame:
+    """(device, offset, length): the zero segments of a view."""
+    return view.filter("zeroed").select("device", "offset", "length")

@@ -5,7 +5,7 @@ A trace is (device, ordinal, op, layer_index, count, offset); ordinal is its ord
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -60,23 +60,31 @@ class Recorder:
             offset += size
             count -= size
 
+    def rows(self, device: int | None) -> pa.RecordBatch:
+        columns = [[device] * len(self.queue), range(len(self.queue)), *([q[i] for q in self.queue] for i in range(3)), [self.dropped] * len(self.queue)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["device", "ordinal", "layer_index", "offset", "count", "dropped"])
+
 
 def record(trace: DataFrame, cap: int = MAX_READ, room: int = 65536) -> DataFrame:
     """(device, ordinal, layer_index, offset, count, dropped): what a recording of each device's reads keeps.
 
-    A fold over the order, as each join decides the next.  Per device the output has at most `room` rows.
+    A fold over the order, as each join decides the next.  A device's records stream through one task, which
+    holds its queue of at most `room` rows.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ordinal")
-        own = Recorder(cap, room)
-        for layer, offset, count in zip(rows["layer_index"].tolist(), rows["offset"].tolist(), rows["count"].tolist(), strict=True):
-            own.add(layer, offset, count)
-        device = rows["device"].iloc[0]
-        return pd.DataFrame([(device, i, *r, own.dropped) for i, r in enumerate(own.queue)], columns=["device", "ordinal", "layer_index", "offset", "count", "dropped"])
-
-    reads = trace.select("device", "ordinal", "layer_index", "offset", "count")
-    return reads.groupBy("device").applyInPandas(fold, "device long, ordinal long, layer_index long, offset long, count long, dropped long")
+    def run(batches):
+        device, own = None, Recorder(cap, room)
+        for batch in batches:
+            for d, layer, offset, count in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                if d != device:
+                    yield own.rows(device)
+                    device, own = d, Recorder(cap, room)
+                own.add(layer, offset, count)
+        yield own.rows(device)
+
+    reads = trace.select(*(F.col(c).cast("long").alias(c) for c in ("device", "ordinal", "layer_index", "offset", "count")))
+    kind = "device long, ordinal long, layer_index long, offset long, count long, dropped long"
+    return reads.repartition("device").sortWithinPartitions("device", "ordinal").mapInArrow(run, kind)
 
 
 def replayed(trace: DataFrame, layers: Column, max_records: int, max_bytes: int, most: int = MAX_READ) -> DataFrame:

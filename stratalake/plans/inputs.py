@@ -86,7 +86,7 @@ def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""
-WITH sizes AS (SELECT s_suppkey AS device, CAST({SECTORS} AS BIGINT) AS sectors FROM supplier),
+WITH RECURSIVE sizes AS (SELECT s_suppkey AS device, CAST({SECTORS} AS BIGINT) AS sectors FROM supplier),
 log AS (
   SELECT *, seq * 64 + 8 AS moffset FROM (
     SELECT l_suppkey AS device, l_linenumber - 1 AS layer, (l_partkey * 37) % 4096 AS off, CAST(l_quantity AS BIGINT) AS len, l_returnflag = 'R' AS zeroed,

@@ -126,12 +126,6 @@ def export_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.geometry(intervals.export_plan(live_view(spark, sf_dir)))
 
 
-@registered()
-def interval_greedy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fold: what joins depends on the joins before it."""
-    return intervals.greedy_merge(states(spark, sf_dir).withColumn("moffset", F.lit(None).cast("long")).withColumn("tag", F.lit(0)), 64)
-
-
 @registered(
     """, covered AS (SELECT device, request, count(*) AS held FROM (SELECT device, request, start_sector + k AS sector FROM (SELECT *, unnest(range(nr_sectors)) AS k FROM requests)) JOIN (SELECT * FROM live WHERE NOT zeroed) USING (device, sector) GROUP BY ALL)
     SELECT DISTINCT r.device, start_sector AS "offset", nr_sectors AS length, coalesce(held, 0) = nr_sectors AS is_data FROM requests r LEFT JOIN covered c ON r.device = c.device AND r.request = c.request"""
@@ -216,20 +210,6 @@ def trace_replay_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace.replay_stats(inputs.trace(spark, sf_dir), F.lit(6), 8, 2_000_000)
 
 
-@registered()
-def trace_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fold: what joins the tail depends on the joins before it."""
-    return trace.record(inputs.trace(spark, sf_dir).filter("op = 'R'"))
-
-
-@registered()
-def admission_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fold over each device's latencies."""
-    key = F.col("event_id")
-    samples = inputs.table(spark, sf_dir, "events").select(F.col("user_id").alias("device"), key.alias("ordinal"), (key * 104729 % 9000000 + 500000).alias("nanos"))
-    return admission.window_fold(samples)
-
-
 @registered("SELECT device, op AS read_class, count(*) AS n, CAST(sum(cnt) AS BIGINT) AS bytes FROM trace GROUP BY device, op")
 def admission_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.class_counts(inputs.trace(spark, sf_dir).withColumnRenamed("op", "read_class"))
