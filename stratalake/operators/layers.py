@@ -136,6 +136,11 @@ def capacity_estimate(entries: DataFrame, block: int = 4096) -> DataFrame:
     return entries.groupBy("layer").agg(F.count_if(F.col("kind") == "file").alias("files"), F.count_if(F.col("kind") == "dir").alias("dirs"), F.sum(size).alias("blocks"), F.max(F.size(F.split("path", "/"))).cast("long").alias("depth"))
 
 
+def node_counts(entries: DataFrame) -> DataFrame:
+    """(layer, files, dirs, bytes) of the entries of each layer."""
+    return entries.groupBy("layer").agg(F.count_if(F.col("kind") == "file").alias("files"), F.count_if(F.col("kind") == "dir").alias("dirs"), F.sum(F.col("size").cast("long")).alias("bytes"))
+
+
 def class_runs(blocks: DataFrame) -> DataFrame:
     """Runs (device, offset, length, class) of classified blocks (device, block, class)."""
     return coalesce(blocks.select("device", F.col("block").alias("offset"), F.lit(1).cast("long").alias("length"), "class"), same=("class",), physical=False)
