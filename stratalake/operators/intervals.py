@@ -6,7 +6,7 @@ frames are read in order and spill.  Half-open sector ranges throughout.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -60,22 +60,32 @@ def split(segments: DataFrame, cap: int = MAX_LENGTH) -> DataFrame:
 def greedy_merge(segments: DataFrame, cap: int = MAX_LENGTH) -> DataFrame:
     """Joins whole neighbours in order while the joined length stays within `cap`; a fold, as earlier joins decide later ones.
 
-    Needs (device, offset, length, moffset, zeroed, tag).  One device is one group, bounded by the format.
+    Needs (device, offset, length, moffset, zeroed, tag).  A device streams through one task in order, which holds one segment.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("offset")
-        out: list[list] = []
-        for device, offset, length, moffset, zeroed, tag in zip(*(rows[c].tolist() for c in ("device", "offset", "length", "moffset", "zeroed", "tag")), strict=True):
-            if out:
-                last = out[-1]
-                if last[1] + last[2] == offset and last[4] == zeroed and last[5] == tag and last[2] + length <= cap and (zeroed or last[3] + last[2] == moffset):
+    names = ["device", "offset", "length", "moffset", "zeroed", "tag"]
+    kinds = [pa.int64()] * 4 + [pa.bool_(), pa.int32()]
+
+    def batch_of(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+    def run(batches):
+        last: list | None = None
+        for batch in batches:
+            out = []
+            for device, offset, length, moffset, zeroed, tag in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last and last[0] == device and last[1] + last[2] == offset and last[4] == zeroed and last[5] == tag and last[2] + length <= cap and (zeroed or last[3] + last[2] == moffset):
                     last[2] += length
                     continue
-            out.append([device, offset, length, -1 if zeroed else int(moffset), zeroed, tag])
-        return pd.DataFrame(out, columns=["device", "offset", "length", "moffset", "zeroed", "tag"])
-
-    merged = segments.select("device", "offset", "length", F.coalesce("moffset", F.lit(-1)).cast("long").alias("moffset"), "zeroed", F.col("tag").cast("int").alias("tag")).groupBy("device").applyInPandas(fold, "device long, offset long, length long, moffset long, zeroed boolean, tag int")
+                if last:
+                    out.append(last)
+                last = [device, offset, length, moffset, zeroed, tag]
+            yield batch_of(out)
+        if last:
+            yield batch_of([last])
+
+    ready = segments.select(*(F.col(c).cast("long").alias(c) for c in names[:3]), F.coalesce("moffset", F.lit(-1)).cast("long").alias("moffset"), "zeroed", F.col("tag").cast("int").alias("tag"))
+    merged = ready.repartition("device").sortWithinPartitions("device", "offset").mapInArrow(run, "device long, offset long, length long, moffset long, zeroed boolean, tag int")
     return merged.withColumn("moffset", F.when(~F.col("zeroed"), F.col("moffset")))
 
 

@@ -1 +1,71 @@
-"""Binary and text formats as DataFrames, and back."""
+"""Binary and text formats as DataFrame sources and sinks, over rows of (path, content) as `binaryFile` reads them.
+
+Readers refuse a broken file as a whole: it gives no rows, and `errors` of the same module tells why.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+
+class FormatError(ValueError):
+    """A file that its format's rules refuse."""
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of all files under a path that Spark can read; a file has at most 2 GB."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def rows_of(files_: DataFrame, parse: Callable[[bytes], Iterator[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
+    """(path, ...) of what `parse` yields of each file; a refused file gives nothing.  One file at a time is in memory beside the batch."""
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    found = list(parse(content.as_py() or b""))
+                except FormatError:
+                    continue
+                for at in range(0, len(found), 10_000):
+                    some = found[at : at + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(some), pa.string()), *(pa.array(column, field.type) for column, field in zip(zip(*some, strict=True), schema, strict=True))], ["path", *schema.names])
+
+    return files_.select("path", "content").mapInArrow(run, f"path string, {ddl}")
+
+
+def errors(files_: DataFrame, parse: Callable[[bytes], Iterator[tuple]]) -> DataFrame:
+    """(path, error) of the files that `parse` refuses."""
+
+    def run(batches):
+        for batch in batches:
+            bad = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    for _ in parse(content.as_py() or b""):
+                        pass
+                except FormatError as e:
+                    bad.append((path, str(e)))
+            yield pa.RecordBatch.from_arrays([pa.array([b[i] for b in bad], pa.string()) for i in (0, 1)], ["path", "error"])
+
+    return files_.select("path", "content").mapInArrow(run, "path string, error string")
+
+
+def written_by(rows: DataFrame, write: Callable[[dict], bytes], key: str = "path") -> DataFrame:
+    """(path, content): one file of each row, made by `write` from its columns."""
+    names = rows.columns
+
+    def run(batches):
+        for batch in batches:
+            content = [write(dict(zip(names, row, strict=True))) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(names.index(key)).cast(pa.string()), pa.array(content, pa.binary())], ["path", "content"])
+
+    return rows.mapInArrow(run, "path string, content binary")
+
+
+def need(good: bool, why: str) -> None:
+    if not good:
+        raise FormatError(why)

@@ -1 +1 @@
-"""Structured Streaming forms of the stateful operators."""
+"""Structured Streaming forms of recordings, admission and counters; their batch forms in `operators` are authoritative."""
