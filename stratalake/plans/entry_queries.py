@@ -10,7 +10,7 @@ from . import inputs
 from .book import Given, registered
 
 DIRS = Given("part", layer="p_partkey % 3", ordinal="p_partkey", kind="CASE WHEN p_partkey % 4 = 0 THEN 'dir' ELSE 'file' END", path="'d' || CAST(p_partkey % 17 AS STRING) || CASE WHEN p_partkey % 4 = 0 THEN '' ELSE '/f' || CAST(p_partkey AS STRING) END", size="p_size")
-MARKS = Given("part", layer="p_partkey % 3", path="'d' || CAST(p_partkey % 29 AS STRING)", kind="CASE WHEN p_size % 2 = 0 THEN 'opaque' ELSE 'whiteout' END")
+MARKS = Given("part", layer="p_partkey % 3", path="'d' || CAST(p_partkey % 5 AS STRING)", kind="CASE WHEN p_size % 2 = 0 THEN 'opaque' ELSE 'whiteout' END")
 
 
 @registered(f"SELECT DISTINCT m.* FROM {MARKS.sql} m SEMI JOIN (SELECT layer, path FROM {DIRS.sql} WHERE kind = 'dir') USING (layer, path)", plain=True)

@@ -110,7 +110,7 @@ SPANS = Given("orders", request="o_orderkey", offset="o_orderkey * 37 % 20000",
 
 @registered(
     f"""SELECT request, source, greatest("offset", low) - low AS source_offset, least("offset" + "count", high) - greatest("offset", low) AS source_count
-    FROM {SPANS.sql} JOIN (VALUES ('metadata', 0, 5000), ('gap', 5000, 5120), ('target', 5120, 17120)) p(source, low, high) ON "offset" < high AND "offset" + "count" > low""",
+    FROM {SPANS.sql} JOIN (VALUES ('metadata', 0, 5000), ('gap', 5000, 5120), ('target', 5120, 17120)) p(source, low, high) ON "offset" < high AND "offset" + "count" > low AND "count" > 0""",
     plain=True,
 )
 def lookup_concatenated(spark: SparkSession, sf_dir: str) -> DataFrame:
