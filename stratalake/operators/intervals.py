@@ -13,7 +13,7 @@ from pyspark.sql import window as W
 
 from ..functions import bits
 from ..schema import DATA_START, MAX_LENGTH
-from .overlay import GRANULE, resolve
+from .overlay import resolve
 
 
 # functions, as column expressions at import would need a running session
@@ -112,26 +112,34 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return cover(a.select("device", "offset", "length").unionByName(b.select("device", "offset", "length")))
 
 
-def _bucketed(rows: DataFrame, shift: int) -> DataFrame:
-    return rows.withColumn("bucket", F.explode(F.sequence(F.shiftright("offset", shift), F.shiftright(_end() - 1, shift))))
+#: Ranges up to LONG sectors meet in buckets of 2**NARROW, longer ones and all that they meet in buckets of 2**WIDE.
+NARROW, WIDE, LONG = 8, 20, 1 << 14
 
 
-def _width(a: DataFrame, b: DataFrame) -> int:
-    """The power of two above the mean length of both sides' ranges, 4 at least and GRANULE at most: most ranges then touch one or two buckets, and a bucket holds few."""
-    mean = a.select("length").unionByName(b.select("length")).agg(F.avg("length")).first()[0] or 1
-    return min(GRANULE.bit_length() - 1, max(2, int(mean).bit_length() + 1))
+def _bucketed(rows: DataFrame, mine: str) -> DataFrame:
+    """Rows with every bucket that they touch: columns kind, shift and bucket; `mine` says whether a kind's first or second letter is this side's.
+
+    A pair of ranges is of one kind: both short (ss), both long (ll) or one of each (sl, ls); so a long range makes
+    few rows, and short ranges are compared with few others however many a device has.
+    """
+    other = {"a": "sl", "b": "ls"}[mine]
+    kind = lambda name, shift: F.struct(F.lit(name).alias("kind"), F.lit(shift).alias("shift"))
+    kinds = F.when(F.col("length") <= LONG, F.array(kind("ss", NARROW), kind(other, WIDE))).otherwise(F.array(kind(other[::-1], WIDE), kind("ll", WIDE)))
+    shift = F.col("k.shift")
+    first, last = (F.call_function("shiftright", x, shift) for x in (F.col("offset"), _end() - 1))
+    out = rows.withColumn("k", F.explode(kinds)).withColumn("bucket", F.explode(F.sequence(first, last)))
+    return out.withColumn("kind", F.col("k.kind")).withColumn("shift", F.col("k.shift")).drop("k")
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(device, offset, length, a_offset, b_offset) of every overlapping pair, by an equi-join on buckets as wide as the ranges' mean length.
+    """(device, offset, length, a_offset, b_offset) of every overlapping pair, by an equi-join on buckets of two widths.
 
     A pair that shares several buckets is taken in the one where its overlap begins.
     """
-    shift = _width(a, b)
-    left = _bucketed(a.select("device", "offset", "length"), shift).select("device", "bucket", F.col("offset").alias("a_offset"), _end().alias("a_end"))
-    right = _bucketed(b.select("device", "offset", "length"), shift).select("device", "bucket", F.col("offset").alias("b_offset"), _end().alias("b_end"))
+    left = _bucketed(a.select("device", "offset", "length"), "a").select("device", "kind", "shift", "bucket", F.col("offset").alias("a_offset"), _end().alias("a_end"))
+    right = _bucketed(b.select("device", "offset", "length"), "b").select("device", "kind", "bucket", F.col("offset").alias("b_offset"), _end().alias("b_end"))
     start, end = F.greatest("a_offset", "b_offset"), F.least("a_end", "b_end")
-    pairs = left.join(right, ["device", "bucket"]).filter((start < end) & (F.shiftright(start, shift) == F.col("bucket")))
+    pairs = left.join(right, ["device", "kind", "bucket"]).filter((start < end) & (F.call_function("shiftright", start, F.col("shift")) == F.col("bucket")))
     return pairs.select("device", start.alias("offset"), (end - start).alias("length"), "a_offset", "b_offset")
 
 
@@ -213,13 +221,11 @@ def copied_up(writes: DataFrame, block: int = 8) -> DataFrame:
 
 def fully_data(view: DataFrame, ranges: DataFrame) -> DataFrame:
     """Ranges (device, offset, length) with is_data: whether data covers all of it."""
-    ranges = ranges.select("device", "offset", "length").distinct()
-    own = ranges.withColumn("range_end", _end())
-    data = view.filter("not zeroed").select("device", "offset", "length")
-    shift = _width(own, data)
-    left = _bucketed(own, shift).select("device", "bucket", F.col("offset").alias("r_offset"), "range_end")
-    right = _bucketed(data, shift).select("device", "bucket", "offset", _end().alias("end"))
-    start, end = F.greatest("offset", "r_offset", F.shiftleft("bucket", shift)), F.least("end", "range_end", F.shiftleft(F.col("bucket") + 1, shift))
-    sums = left.join(right, ["device", "bucket"]).filter(start < end).groupBy("device", "r_offset", "range_end").agg(F.sum(end - start).alias("held"))
+    own = ranges.select("device", "offset", "length").distinct().withColumn("range_end", _end())
+    left = _bucketed(own, "a").select("device", "kind", "shift", "bucket", F.col("offset").alias("r_offset"), "range_end")
+    right = _bucketed(view.filter("not zeroed").select("device", "offset", "length"), "b").select("device", "kind", "bucket", "offset", _end().alias("end"))
+    low, high = (F.call_function("shiftleft", x, F.col("shift")) for x in (F.col("bucket"), F.col("bucket") + 1))
+    start, end = F.greatest("offset", "r_offset", low), F.least("end", "range_end", high)
+    sums = left.join(right, ["device", "kind", "bucket"]).filter(start < end).groupBy("device", "r_offset", "range_end").agg(F.sum(end - start).alias("held"))
     out = own.join(sums.withColumnRenamed("r_offset", "offset"), ["device", "offset", "range_end"], "left")
     return out.select("device", "offset", "length", (F.coalesce("held", F.lit(0)) == F.col("length")).alias("is_data"))

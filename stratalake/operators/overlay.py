@@ -30,17 +30,15 @@ def cells(extents: DataFrame) -> DataFrame:
     base = F.col("granule") * GRANULE
     low, high = F.greatest(F.col("offset") - base, F.lit(0)), F.least(end - base, F.lit(GRANULE))
 
-    def at(level: Column) -> Column:
-        # as in a segment tree: an odd left border or an odd right border ends a cell of this level
-        size = F.call_function("shiftleft", F.lit(1), level).cast("long")
-        left, right = F.call_function("shiftright", low + size - 1, level), F.call_function("shiftright", high, level)
-        inside = left < right
-        first = F.when(inside & (F.pmod(left, F.lit(2)) == 1), F.struct(level.cast("int").alias("level"), left.cast("int").alias("cell")))
-        last = F.when(inside & (F.pmod(right, F.lit(2)) == 1), F.struct(level.cast("int").alias("level"), (right - 1).cast("int").alias("cell")))
-        return F.array_compact(F.array(first, last))
-
-    found = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at))
-    return one.withColumn("place", F.explode(found)).select("*", "place.level", "place.cell").drop("place")
+    # as in a segment tree: an odd left border or an odd right border ends a cell of this level; none is larger than the extent
+    most = F.least(F.lit(LEVELS), F.floor(F.log2(high - low)).cast("int") + 1)
+    rows = one.withColumn("low", low.cast("int")).withColumn("high", high.cast("int")).withColumn("level", F.explode(F.sequence(F.lit(0), most)))
+    shift = lambda x: F.call_function("shiftright", x, F.col("level"))
+    left, right = shift(F.col("low") + F.call_function("shiftleft", F.lit(1), F.col("level")) - 1), shift(F.col("high"))
+    odd = lambda x: x.bitwiseAND(F.lit(1)) == 1
+    bounds = F.array(F.when(odd(left), left).otherwise(-1), F.when(odd(right), right - 1).otherwise(-1))
+    found = rows.withColumn("left", left).withColumn("right", right).filter("left < right").withColumn("cell", F.explode(bounds)).filter("cell >= 0")
+    return found.drop("low", "high", "left", "right")
 
 
 def _settled(rows: pa.Table) -> pa.RecordBatch:
