@@ -80,9 +80,8 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(layer, path, kind): a tenth of the entries delete their top directory or what is below it."""
-    rows = entries(spark, sf_dir).filter("ordinal % 10 = 0")
-    return rows.select("layer", F.split("path", "/")[0].alias("path"), F.when(F.col("ordinal") % 20 == 0, "opaque").otherwise("whiteout").alias("kind")).distinct()
+    """(layer, path, kind): each entry deletes what lower layers have of its top directory, or only what is below it."""
+    return entries(spark, sf_dir).select("layer", F.split("path", "/")[0].alias("path"), F.when(F.col("size") % 2 == 0, "opaque").otherwise("whiteout").alias("kind")).distinct()
 
 
 SQL = f"""
@@ -123,5 +122,5 @@ entries AS (
   SELECT * FROM (SELECT page_id % 3 AS layer, page_id AS ordinal, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path, 'file' AS kind, length(html) AS size FROM pages)
   WHERE path <> ''
 ),
-marks AS (SELECT DISTINCT layer, split_part(path, '/', 1) AS path, CASE WHEN ordinal % 20 = 0 THEN 'opaque' ELSE 'whiteout' END AS kind FROM entries WHERE ordinal % 10 = 0)
+marks AS (SELECT DISTINCT layer, split_part(path, '/', 1) AS path, CASE WHEN size % 2 = 0 THEN 'opaque' ELSE 'whiteout' END AS kind FROM entries)
 """

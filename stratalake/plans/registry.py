@@ -90,12 +90,12 @@ def interval_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    """, gone AS (SELECT DISTINCT device, start_sector + k AS sector FROM (SELECT device, start_sector, unnest(range(nr_sectors)) AS k FROM requests WHERE request % 5 = 0))
+    """, gone AS (SELECT DISTINCT device, start_sector + k AS sector FROM (SELECT device, start_sector, unnest(range(nr_sectors)) AS k FROM requests))
     SELECT device, count(*) AS sectors, count(*) FILTER (zeroed) AS zero_sectors, CAST(coalesce(sum(place), 0) AS BIGINT) AS place_sum FROM live ANTI JOIN gone USING (device, sector) GROUP BY device"""
 )
 def interval_erase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live sectors that are left after a fifth of the requests discards its ranges."""
-    holes = inputs.requests(spark, sf_dir).filter("request % 5 = 0").select("device", F.col("start_sector").alias("offset"), F.col("nr_sectors").alias("length"))
+    """Live sectors that are left after every request discards its range."""
+    holes = inputs.requests(spark, sf_dir).select("device", F.col("start_sector").alias("offset"), F.col("nr_sectors").alias("length"))
     left = intervals.erase(live_view(spark, sf_dir), intervals.cover(holes))
     places = F.when(~F.col("zeroed"), F.col("moffset") * F.col("length") + F.expr("length * (length - 1) div 2")).otherwise(0)
     return left.groupBy("device").agg(F.sum("length").alias("sectors"), F.sum(F.when(F.col("zeroed"), F.col("length")).otherwise(0)).alias("zero_sectors"), F.sum(places).alias("place_sum"))
@@ -247,14 +247,14 @@ def layers_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    """, credentials AS (SELECT DISTINCT split_part(path, '/', 1) AS prefix FROM entries WHERE ordinal % 2 = 0 UNION SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM entries WHERE ordinal % 3 = 0 AND contains(path, '/'))
+    """, credentials AS (SELECT DISTINCT split_part(path, '/', 1) AS prefix FROM entries UNION SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM entries WHERE contains(path, '/'))
     SELECT path AS url, max_by(prefix, length(prefix)) AS prefix FROM entries LEFT JOIN credentials ON path = prefix OR starts_with(path, prefix || '/') GROUP BY ordinal, path"""
 )
 def layers_longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = inputs.entries(spark, sf_dir)
     parts = F.split("path", "/")
-    hosts = rows.filter("ordinal % 2 = 0").select(parts[0].alias("prefix"))
-    dirs = rows.filter("ordinal % 3 = 0 and contains(path, '/')").select(F.concat_ws("/", parts[0], parts[1]).alias("prefix"))
+    hosts = rows.select(parts[0].alias("prefix"))
+    dirs = rows.filter("contains(path, '/')").select(F.concat_ws("/", parts[0], parts[1]).alias("prefix"))
     known = hosts.union(dirs).distinct().withColumn("user", F.col("prefix"))
     return layers.longest_prefix(rows.select(F.col("path").alias("url")), known).select("url", "prefix")
 
