@@ -47,7 +47,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("mix", mix_stage),
 ]
 
-#: No SQL: compression, hashes and EM can't be expressed in it; the tests hold the rows against a plain version.
+#: No SQL: compression, hashes and EM can't be expressed in it; tests/llm/test_pipeline.py holds the rows against plain forms of the stages.
 ORACLE_SQL: str | None = None
 
 
