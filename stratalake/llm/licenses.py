@@ -22,7 +22,10 @@ an empty result; terms that no template has weigh as the mean template term.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
 from math import log
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +40,8 @@ CLOSE = 0.9
 HINT = r"(?i)licen[cs]|copyright|spdx|public\s+domain|rights\s+reserved"
 #: Files that are scanned; lines are still those of HINT, as a wrapped sentence may leave a line without its word.
 FILE_HINT = HINT + r"|permission|redistribut|reserved|creative\s+commons|cc\W+by"
+#: At least one is in every text that FILE_HINT matches.
+HINT_WORDS = ("licen", "copyright", "spdx", "public", "reserved", "permission", "redistribut", "creative", "cc")
 SPDX = r"(?i)spdx-license-identifier\s*:((?:[ \t(]*[a-z0-9.+-]+\)*)+)"
 GENERAL = frozenset({"all-rights-reserved"})
 HINT_TERM = r"^(licen[cs]|copyright|spdx|domain|reserved)"
@@ -113,9 +118,15 @@ def weights(files: DataFrame, templates: list[tuple[str, str, int]]) -> tuple[di
     return idf, sum(idf.values()) / len(idf), vectors
 
 
+def mentions(text: Column) -> Column:
+    """Whether FILE_HINT is in a text; the pattern is slow, so it's tried only where a plain word of it (HINT_WORDS) is."""
+    low = F.lower(text)
+    return reduce(Column.__or__, (low.contains(w) for w in HINT_WORDS)) & text.rlike(FILE_HINT)
+
+
 def units(text: Column) -> Column:
     """Arrays of terms: every line that mentions licensing, long ones in windows."""
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(HINT))
+    lines = F.filter(F.array_distinct(F.split(text, "\n")), lambda line: line.rlike(HINT))
     bags = F.transform(lines, lambda line: F.regexp_extract_all(F.lower(line), F.lit("[a-z0-9]+"), F.lit(0)))
     cutting = F.transform(bags, lambda bag: F.when(F.size(bag) <= WINDOW, F.array(bag)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(bag) - STRIDE, F.lit(1)), F.lit(STRIDE)), lambda i: F.slice(bag, i, WINDOW))))
     return F.filter(F.flatten(cutting), lambda bag: F.exists(bag, lambda t: t.rlike(HINT_TERM)))
@@ -128,55 +139,70 @@ def windows(text: Column, templates: list[tuple[str, str, int]], idf: dict[str,
         terms = _terms(own)
         for t in sorted(set(terms), key=lambda t: (-idf[t], t))[:2]:
             laid.setdefault(t, set()).update((i, len(terms)) for i, u in enumerate(terms) if u == t)
-    at = _table({t: F.array(*(F.struct(F.lit(i).alias("before"), F.lit(n).alias("n")) for i, n in sorted(places))) for t, places in sorted(laid.items())})
+    at = _lookup({t: F.array(*(F.struct(F.lit(i).alias("before"), F.lit(n).alias("n")) for i, n in sorted(places))) for t, places in sorted(laid.items())})
+    longest = max(n for places in laid.values() for _, n in places) + 1
     bag = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    anchors = F.array(*map(F.lit, sorted(laid)))
 
     def cuts(bag: Column) -> Column:
-        found = F.filter(F.transform(bag, lambda t, i: F.struct(t.alias("term"), i.alias("i"))), lambda x: F.array_contains(anchors, x["term"]))
-        spans = F.flatten(F.transform(found, lambda x: F.transform(F.try_element_at(at, x["term"]), lambda p: F.struct((x["i"] - p["before"]).alias("start"), p["n"].alias("n")))))
-        inside = F.filter(F.array_distinct(spans), lambda s: (s["start"] >= 0) & (s["start"] + s["n"] <= F.size(bag)))
-        return F.transform(inside, lambda s: F.slice(bag, s["start"] + 1, s["n"]))
+        found = F.filter(F.transform(bag, lambda t, i: F.struct(i.alias("i"), at(t).alias("places"))), lambda x: x["places"].isNotNull())
+        # a window is one number, and later one text, as only plain values are told apart by hashing
+        spans = F.flatten(F.transform(found, lambda x: F.transform(F.filter(x["places"], lambda p: (x["i"] >= p["before"]) & (x["i"] - p["before"] + p["n"] <= F.size(bag))), lambda p: (x["i"] - p["before"]).cast("long") * longest + p["n"])))
+        return F.transform(F.array_distinct(spans), lambda s: F.array_join(F.slice(bag, F.floor(s / longest).cast("int") + 1, (s % longest).cast("int")), " "))
 
-    # the terms are made once, as the only element of an array
-    return F.array_distinct(F.flatten(F.transform(F.array(bag), cuts)))
+    return F.transform(F.array_distinct(_once(bag, cuts)), lambda window: F.split(window, " "))
 
 
 def declared(text: Column, names: list[str]) -> Column:
     """Structs as of `best` for the known identifiers of SPDX lines, the first of each line."""
     known = {n.lower() + end: i for i, n in reversed(list(enumerate(names))) for end in ("", "+", "-only", "-or-later")}
-    at, name = _table({k: F.lit(i) for k, i in sorted(known.items())}), F.array(*map(F.lit, names))
+    at, name = _lookup({k: F.lit(i) for k, i in sorted(known.items())}), F.array(*map(F.lit, names))
     lines = F.regexp_extract_all(text, F.lit(SPDX), F.lit(1))
-    first = F.transform(lines, lambda line: F.try_element_at(F.filter(F.transform(F.regexp_extract_all(F.lower(line), F.lit("[a-z0-9.+-]+"), F.lit(0)), lambda t: F.try_element_at(at, t)), lambda i: i.isNotNull()), F.lit(1)))
+    first = F.transform(lines, lambda line: F.try_element_at(F.filter(F.transform(F.regexp_extract_all(F.lower(line), F.lit("[a-z0-9.+-]+"), F.lit(0)), at), lambda i: i.isNotNull()), F.lit(1)))
     return F.transform(F.filter(first, lambda i: i.isNotNull()), lambda i: F.struct(F.lit(1).alias("special"), F.lit(1.0).alias("score"), (-i).alias("order"), F.element_at(name, i + 1).alias("template"), F.lit(4).alias("n_terms")))
 
 
-def _table(rows: dict[str, Column]) -> Column:
-    return F.create_map(*[x for term, value in rows.items() for x in (F.lit(term), value)])
+def _lookup(rows: dict[str, Column]) -> Callable[[Column], Column]:
+    """Value of a term, or null: literal maps of a few terms each, picked by the term's checksum, as a lookup in a map reads all of it."""
+    size = 2 * len(rows)
+    maps: list[dict[str, Column]] = [{} for _ in range(size)]
+    for term, value in rows.items():
+        maps[crc32(term.encode()) % size][term] = value
+    blank = {"": next(iter(rows.values()))}  # no term is empty
+    table = F.array(*(F.create_map(*[x for term, value in (m or blank).items() for x in (F.lit(term), value)]) for m in maps))
+    return lambda term: F.try_element_at(F.element_at(table, (F.crc32(term) % size).cast("int") + 1), term)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, as the only element of an array; a column used twice inside a lambda is computed twice."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def best(bag: Column, idf: dict[str, float], other: float, vectors: list[dict[str, float]], templates: list[tuple[str, str, int]]) -> Column:
     """Struct of the highest cosine of a bag of terms with a template (6 decimals), the template and the size of the bag or of what it stands for."""
     names = [name for name, _, _ in templates]
-    own = _table({t: F.lit(w) for t, w in idf.items()})
-    toward = _table({t: F.array(*(F.lit(v.get(t, 0.0) * w) for v in vectors)) for t, w in idf.items()})
+    own = _lookup({t: F.lit(w) for t, w in idf.items()})
+    toward = _lookup({t: F.expr("array(" + ", ".join(f"{v.get(t, 0.0) * w!r}D" for v in vectors) + ")") for t, w in idf.items()})
     # equal terms stand together after sorting, so one pass gives the squared norm
     zero = F.struct(F.lit("").alias("term"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
 
-    def step(s: Column, t: Column) -> Column:
-        again, w = t == s["term"], F.coalesce(F.try_element_at(own, t), F.lit(other))
-        before = F.when(again, s["run"]).otherwise(0.0)
-        return F.struct(t.alias("term"), (before + w).alias("run"), (s["sum"] + (2 * before + w) * w).alias("sum"))
+    def step(s: Column, x: Column) -> Column:
+        before = F.when(x["term"] == s["term"], s["run"]).otherwise(0.0)
+        return F.struct(x["term"].alias("term"), (before + x["w"]).alias("run"), (s["sum"] + (2 * before + x["w"]) * x["w"]).alias("sum"))
+
+    weighed = F.transform(F.sort_array(bag), lambda t: F.struct(t.alias("term"), F.coalesce(own(t), F.lit(other)).alias("w")))
+    norm = F.sqrt(F.aggregate(weighed, zero, step, lambda s: s["sum"]))
+    known = F.filter(F.transform(bag, toward), lambda row: row.isNotNull())
+    dots = F.aggregate(known, F.array_repeat(F.lit(0.0), len(names)), lambda s, row: F.zip_with(s, row, lambda x, y: x + y))
+    top = _once(norm, lambda norm: F.array_max(F.transform(dots, lambda d, i: F.struct(F.round(d / norm, 6).alias("score"), (-i).alias("order")))))
+
+    def told(top: Column) -> Column:
+        template = F.element_at(F.array(*map(F.lit, names)), 1 - top["order"])
+        # what a passage stands for counts only where the passage itself is there
+        stands = F.when(top["score"] >= CLOSE, F.element_at(F.array(*(F.lit(n) for _, _, n in templates)), 1 - top["order"])).otherwise(0)
+        special = ((top["score"] >= THRESHOLD) & ~template.isin(*GENERAL)).cast("int")
+        return F.struct(special.alias("special"), top["score"].alias("score"), top["order"].alias("order"), template.alias("template"), F.greatest(F.size(bag), stands).alias("n_terms"))
 
-    norm = F.sqrt(F.aggregate(F.array_sort(bag), zero, step, lambda s: s["sum"]))
-    none = F.array_repeat(F.lit(0.0), len(names))
-    dots = F.aggregate(bag, none, lambda s, t: F.zip_with(s, F.coalesce(F.try_element_at(toward, t), none), lambda x, y: x + y))
-    top = F.array_max(F.transform(dots, lambda d, i: F.struct(F.round(d / norm, 6).alias("score"), (-i).alias("order"))))
-    template = F.element_at(F.array(*map(F.lit, names)), 1 - top["order"])
-    # what a passage stands for counts only where the passage itself is there
-    stands = F.when(top["score"] >= CLOSE, F.element_at(F.array(*(F.lit(n) for _, _, n in templates)), 1 - top["order"])).otherwise(0)
-    special = ((top["score"] >= THRESHOLD) & ~template.isin(*GENERAL)).cast("int")
-    return F.struct(special.alias("special"), top["score"].alias("score"), top["order"].alias("order"), template.alias("template"), F.greatest(F.size(bag), stands).alias("n_terms"))
+    return _once(top, told)
 
 
 def own_licenses(files: DataFrame, templates: list[tuple[str, str, int]]) -> DataFrame:
@@ -185,8 +211,10 @@ def own_licenses(files: DataFrame, templates: list[tuple[str, str, int]]) -> Dat
     text = F.col("text")
     lines = F.transform(units(text), lambda bag: best(bag, idf, other, vectors, templates))
     near = F.filter(F.transform(windows(text, templates, idf), lambda bag: best(bag, idf, other, vectors, templates)), lambda x: x["score"] >= CLOSE)
-    found = F.when(text.rlike(FILE_HINT), F.array_max(F.concat(lines, near, declared(text, [name for name, _, _ in templates]))))
-    scored = files.select("doc_id", F.coalesce("dir", F.lit("/")).alias("dir"), found.alias("best"), F.when(text.rlike(FILE_HINT), F.size(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("terms"))
+    best_unit = F.array_max(F.concat(lines, near, declared(text, [name for name, _, _ in templates])))
+    terms = F.size(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
+    found = F.when(mentions(text), F.struct(best_unit.alias("best"), terms.alias("terms")))
+    scored = files.select("doc_id", F.coalesce("dir", F.lit("/")).alias("dir"), found.alias("found")).select("doc_id", "dir", "found.best", "found.terms")
     sure = F.col("best.score") >= THRESHOLD
     return scored.select(
         "doc_id",
