@@ -14,6 +14,7 @@ from pyspark.sql import window as W
 from ..functions import bits
 from ..schema import DATA_START, MAX_LENGTH
 from .overlay import resolve
+from .spread import spread
 
 
 # functions, as column expressions at import would need a running session
@@ -37,6 +38,7 @@ def _end() -> Column:
 
 def coalesce(segments: DataFrame, same: tuple[str, ...] = ("zeroed",), physical: bool = True) -> DataFrame:
     """Maximal runs: neighbours join where they touch, agree in `same`, and, for data, continue in the layer too."""
+    segments = spread(segments, "device")
     breaks = F.lag(_end()).over(_order()) != F.col("offset")
     for name in same:
         breaks = breaks | ~F.col(name).eqNullSafe(F.lag(name).over(_order()))
@@ -85,7 +87,7 @@ def greedy_merge(segments: DataFrame, cap: int = MAX_LENGTH) -> DataFrame:
             yield batch_of([last])
 
     ready = segments.select(*(F.col(c).cast("long").alias(c) for c in names[:3]), F.coalesce("moffset", F.lit(-1)).cast("long").alias("moffset"), "zeroed", F.col("tag").cast("int").alias("tag"))
-    merged = ready.repartition("device").sortWithinPartitions("device", "offset").mapInArrow(run, "device long, offset long, length long, moffset long, zeroed boolean, tag int")
+    merged = spread(ready, "device").sortWithinPartitions("device", "offset").mapInArrow(run, "device long, offset long, length long, moffset long, zeroed boolean, tag int")
     return merged.withColumn("moffset", F.when(~F.col("zeroed"), F.col("moffset")))
 
 
@@ -103,7 +105,7 @@ def cover(ranges: DataFrame) -> DataFrame:
     """(device, offset, length): the union of ranges that may overlap or touch."""
     order = W.Window.partitionBy("device").orderBy("offset", "length")
     reach = F.max(_end()).over(order.rowsBetween(W.Window.unboundedPreceding, -1))
-    marked = ranges.select("device", "offset", "length").withColumn("run", F.coalesce(F.col("offset") > reach, F.lit(True)).cast("long"))
+    marked = spread(ranges.select("device", "offset", "length"), "device").withColumn("run", F.coalesce(F.col("offset") > reach, F.lit(True)).cast("long"))
     grouped = marked.withColumn("run", F.sum("run").over(order.rowsBetween(W.Window.unboundedPreceding, 0))).groupBy("device", "run").agg(F.min("offset").alias("offset"), F.max(_end()).alias("end"))
     return grouped.select("device", "offset", (F.col("end") - F.col("offset")).alias("length"))
 
@@ -146,7 +148,7 @@ def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
 def complement(segments: DataFrame, sizes: DataFrame) -> DataFrame:
     """(device, offset, length): the holes of disjoint segments in devices of (device, sectors)."""
     edge = sizes.select("device", F.col("sectors").alias("offset"), F.lit(0).cast("long").alias("length"))
-    marked = segments.select("device", "offset", "length").unionByName(edge)
+    marked = spread(segments.select("device", "offset", "length").unionByName(edge), "device")
     start = F.coalesce(F.lag(_end()).over(W.Window.partitionBy("device").orderBy("offset", "length")), F.lit(0))
     return marked.select("device", start.alias("start"), (F.col("offset") - start).alias("length")).filter("length > 0").withColumnRenamed("start", "offset")
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import intervals
+from ..operators.spread import spread
 
 PAGE = 16384
 
@@ -36,7 +37,7 @@ def pages(states: DataFrame) -> DataFrame:
         if held is not None:
             yield _packed(held)
 
-    return cut.repartition("device", "page").sortWithinPartitions("device", "page").mapInArrow(run, "device long, page long, payload binary")
+    return spread(cut, "device", "page").sortWithinPartitions("device", "page").mapInArrow(run, "device long, page long, payload binary")
 
 
 def _packed(rows: pa.Table) -> pa.RecordBatch:
