@@ -4,6 +4,7 @@ import random
 
 import pyarrow as pa
 
+from stratalake import sources
 from stratalake.operators import intervals, overlay, spread
 from stratalake.plans import inputs, registry
 
@@ -66,3 +67,30 @@ def test_a_granule_longer_than_a_chunk_is_settled_as_by_sectors(monkeypatch):
     assert all(x["tag"] == x["rank"] % 200 and x["zeroed"] == (x["rank"] % 3 == 0) for x in out)
     seen = [(x["device"], x["granule"], x["low"]) for x in out]
     assert len(set(seen)) == len(seen)
+
+
+def test_files_leave_in_small_batches():
+    def batches():
+        for at in range(0, 3000, 1000):
+            yield pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(at, at + 1000)]), pa.array([bytes(10_000)] * 1000, pa.binary())], ["path", "data"])
+
+    out = list(sources.made_of(batches(), lambda r: r["data"] + r["path"].encode(), "path"))
+    assert [p for b in out for p in b.column("path").to_pylist()] == [str(i) for i in range(3000)]
+    assert all(b.column("content").to_pylist()[0][10_000:].decode() == b.column("path")[0].as_py() for b in out)
+    assert max(b.nbytes for b in out) < sources.PIECE + 50_000  # it was a batch of all files of an input batch
+
+
+def test_rows_of_small_files_leave_together_and_refused_files_leave_nothing():
+    def parse(content):
+        for i in range(len(content)):
+            sources.need(i < 25_000, "long")
+            yield (i,)
+
+    sizes = [3, 0, 25_000, 25_001, 12_000, 4, 5]
+    given = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(7)]), pa.array([bytes(n) for n in sizes], pa.binary())], ["path", "content"])
+    out = list(sources.parsed(iter([given]), parse, pa.schema([("n", pa.int64())])))
+    found = pa.Table.from_batches(out).group_by("path").aggregate([("n", "count"), ("n", "max")]).sort_by("path").to_pylist()
+    assert [(x["path"], x["n_count"], x["n_max"]) for x in found] == [(str(i), n, n - 1) for i, n in enumerate(sizes) if 0 < n <= 25_000]
+    assert len(out) == 4 and max(b.num_rows for b in out) <= 2 * sources.ROWS
+    wide = list(sources.parsed(iter([given]), lambda content: iter([(content * 300,)]), pa.schema([("data", pa.binary())])))
+    assert sum(b.num_rows for b in wide) == 7 and len(wide) == 3
