@@ -7,6 +7,7 @@ import pyarrow as pa
 from stratalake import sources
 from stratalake.operators import intervals, overlay, spread
 from stratalake.plans import inputs, registry
+from stratalake.sources import block_file
 
 NAMES = ["device", "granule", "low", "high", "rank", "base", "moffset", "zeroed", "tag"]
 KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32()]
@@ -94,3 +95,11 @@ def test_rows_of_small_files_leave_together_and_refused_files_leave_nothing():
     assert len(out) == 4 and max(b.num_rows for b in out) <= 2 * sources.ROWS
     wide = list(sources.parsed(iter([given]), lambda content: iter([(content * 300,)]), pa.schema([("data", pa.binary())])))
     assert sum(b.num_rows for b in wide) == 7 and len(wide) == 3
+
+
+def test_block_indexes_of_many_files_are_few_batches():
+    texts = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(300)]), pa.array([b"block %d" % i * 200 for i in range(300)], pa.binary())], ["path", "data"])
+    made = sources.made_of(iter([texts]), lambda r: block_file.compressed(r["data"], 1024), "path")
+    out = list(sources.parsed(made, block_file.parse_blocks, pa.schema([("idx", pa.int64()), ("comp_size", pa.int64()), ("block_offset", pa.int64())])))
+    assert len(out) == 1  # it was a batch a file
+    assert out[0].num_rows == sum(-(-len(b"block %d" % i * 200) // 1024) for i in range(300))
