@@ -14,7 +14,7 @@ from pyspark.sql import window as W
 from ..functions import bits
 from ..schema import DATA_START, MAX_LENGTH
 from .overlay import resolve
-from .spread import spread
+from .spread import spread, spread_together
 
 
 # functions, as column expressions at import would need a running session
@@ -140,6 +140,7 @@ def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
     """
     left = _bucketed(a.select("device", "offset", "length"), "a").select("device", "kind", "shift", "bucket", F.col("offset").alias("a_offset"), _end().alias("a_end"))
     right = _bucketed(b.select("device", "offset", "length"), "b").select("device", "kind", "bucket", F.col("offset").alias("b_offset"), _end().alias("b_end"))
+    left, right = spread_together(left, right, "device", "kind", "bucket")
     start, end = F.greatest("a_offset", "b_offset"), F.least("a_end", "b_end")
     pairs = left.join(right, ["device", "kind", "bucket"]).filter((start < end) & (F.call_function("shiftright", start, F.col("shift")) == F.col("bucket")))
     return pairs.select("device", start.alias("offset"), (end - start).alias("length"), "a_offset", "b_offset")
@@ -168,6 +169,7 @@ def clipped_to(segments: DataFrame, ranges: DataFrame) -> DataFrame:
     """The parts of segments inside disjoint ranges of the same device."""
     inside = intersect(segments, ranges).select("device", "offset", "length", F.col("a_offset").alias("base"))
     own = segments.select("device", F.col("offset").alias("base"), "moffset", "zeroed")
+    inside, own = spread_together(inside, own, "device", "base")
     return inside.join(own, ["device", "base"]).select("device", "offset", "length", F.when(F.col("zeroed"), F.col("moffset")).otherwise(F.col("moffset") + F.col("offset") - F.col("base")).alias("moffset"), "zeroed")
 
 
@@ -226,6 +228,7 @@ def fully_data(view: DataFrame, ranges: DataFrame) -> DataFrame:
     own = ranges.select("device", "offset", "length").distinct().withColumn("range_end", _end())
     left = _bucketed(own, "a").select("device", "kind", "shift", "bucket", F.col("offset").alias("r_offset"), "range_end")
     right = _bucketed(view.filter("not zeroed").select("device", "offset", "length"), "b").select("device", "kind", "bucket", "offset", _end().alias("end"))
+    left, right = spread_together(left, right, "device", "kind", "bucket")
     low, high = (F.call_function("shiftleft", x, F.col("shift")) for x in (F.col("bucket"), F.col("bucket") + 1))
     start, end = F.greatest("offset", "r_offset", low), F.least("end", "range_end", high)
     sums = left.join(right, ["device", "kind", "bucket"]).filter(start < end).groupBy("device", "r_offset", "range_end").agg(F.sum(end - start).alias("held"))

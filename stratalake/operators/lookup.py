@@ -9,6 +9,7 @@ from pyspark.sql import window as W
 from ..functions import bits
 from ..schema import EXTENT_BYTES, SECTOR
 from .overlay import GRANULE
+from .spread import spread, spread_together
 
 
 def read_plan(requests: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -36,12 +37,13 @@ def pieces(requests: DataFrame, view: DataFrame) -> DataFrame:
     stop = F.col("offset") + F.col("length")
     there = view.withColumn("bucket", F.explode(F.sequence(bits.div(F.col("offset"), GRANULE), bits.div(stop - 1, GRANULE)))).select("device", "bucket", F.col("offset").alias("s"), stop.alias("e"), "moffset", "zeroed")
     start, finish = F.greatest("s", "low"), F.least("e", "high")
-    hits = own.join(there, ["device", "bucket"]).filter(start < finish).select("device", "request", "bucket", "low", "high", start.alias("offset"), finish.alias("stop"), F.when(F.col("zeroed"), "zero").otherwise("data").alias("state"), F.when(~F.col("zeroed"), F.col("moffset") + start - F.col("s")).alias("moffset"))
+    asked, held = spread_together(own, there, "device", "bucket")
+    hits = asked.join(held, ["device", "bucket"]).filter(start < finish).select("device", "request", "bucket", "low", "high", start.alias("offset"), finish.alias("stop"), F.when(F.col("zeroed"), "zero").otherwise("data").alias("state"), F.when(~F.col("zeroed"), F.col("moffset") + start - F.col("s")).alias("moffset"))
     # holes lie before each piece and after the last one of a request's granule; an empty piece at its end stands for the latter
     none = F.lit(None)
     ends = own.select("device", "request", "bucket", "low", "high", F.col("high").alias("offset"), F.col("high").alias("stop"), none.cast("string").alias("state"), none.cast("long").alias("moffset"))
     order = W.Window.partitionBy("device", "request", "bucket").orderBy("offset", "stop")
-    all_ = hits.unionByName(ends).withColumn("from", F.coalesce(F.lag("stop").over(order), F.col("low")))
+    all_ = spread(hits.unionByName(ends), "device", "request", "bucket").withColumn("from", F.coalesce(F.lag("stop").over(order), F.col("low")))
     # a row gives the hole before it and itself, so that the join and the window run once
     piece = lambda low, high, state, moffset: F.struct(low.alias("offset"), (high - low).alias("length"), state.alias("state"), moffset.alias("moffset"))
     hole = F.when(F.col("from") < F.col("offset"), piece(F.col("from"), F.col("offset"), F.lit("hole"), none.cast("long")))
@@ -55,7 +57,7 @@ def as_of(points: DataFrame, entries: DataFrame, key: str, at: str, entry_at: st
     kinds = {f.name: f.dataType for f in entries.schema}
     left = points.withColumn("entry_", F.lit(None).cast(f"struct<{entry_at}:long," + ",".join(f"{c}:{kinds[c].simpleString()}" for c in rest) + ">")).withColumn("side_", F.lit(1)).withColumn("at_", F.col(at))
     right = entries.select(F.col(key), F.struct(F.col(entry_at).cast("long").alias(entry_at), *rest).alias("entry_"), F.lit(0).alias("side_"), F.col(entry_at).alias("at_"))
-    both = left.unionByName(right, allowMissingColumns=True)
+    both = spread(left.unionByName(right, allowMissingColumns=True), key)
     order = W.Window.partitionBy(key).orderBy("at_", "side_").rowsBetween(W.Window.unboundedPreceding, 0)
     found = both.withColumn("entry_", F.last("entry_", ignorenulls=True).over(order)).filter("side_ = 1")
     return found.select(*points.columns, *(F.col(f"entry_.{c}").alias(f"entry_{c}" if c in points.columns else c) for c in (entry_at, *rest)), (F.col("at_") - F.col(f"entry_.{entry_at}")).alias("distance"))

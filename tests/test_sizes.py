@@ -103,3 +103,15 @@ def test_block_indexes_of_many_files_are_few_batches():
     out = list(sources.parsed(made, block_file.parse_blocks, pa.schema([("idx", pa.int64()), ("comp_size", pa.int64()), ("block_offset", pa.int64())])))
     assert len(out) == 1  # it was a batch a file
     assert out[0].num_rows == sum(-(-len(b"block %d" % i * 200) // 1024) for i in range(300))
+
+
+def test_joins_and_lookups_take_more_tasks_as_their_tables_grow(spark, sf_dir, monkeypatch):
+    names = ["lookup_pieces", "lookup_as_of", "interval_intersect", "interval_fully_data"]
+    usual = {n: registry.QUERIES[n](spark, sf_dir).count() for n in names}
+    monkeypatch.setattr(spread, "TASK_BYTES", 2000)
+    for n in names[:3]:
+        df = registry.QUERIES[n](spark, sf_dir)
+        assert df.rdd.getNumPartitions() >= 50 and df.count() == usual[n]
+    view, ranges = registry.states(spark, sf_dir), inputs.requests(spark, sf_dir).selectExpr("device", "start_sector AS offset", "nr_sectors AS length")
+    plan = intervals.fully_data(view, ranges)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [device" in plan and intervals.fully_data(view, ranges).count() == usual[names[3]]
