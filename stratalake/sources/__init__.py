@@ -27,22 +27,31 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 def _mapped(df: DataFrame, run: Callable, ddl: str) -> DataFrame:
     """mapInArrow with input batches of PIECE bytes, where the session has no bound of its own; by default they hold 10,000 whole files.
 
-    Workers give memory back at the end of a task, as they stay for their executor's next one.
+    Workers give memory back after each batch and at the end of a task, as they stay for their executor's next one.
     """
     conf = df.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(PIECE))
 
-    def tidy(batches):
-        try:
-            yield from run(batches)
-        finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-            if trim is not None:
-                trim(0)
+    return df.mapInArrow(lambda batches: tidied(run(batches)), ddl)
 
-    return df.mapInArrow(tidy, ddl)
+
+def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; free memory goes back to the system after each, as allocators keep more of it the longer a task lasts."""
+    try:
+        for batch in batches:
+            yield batch
+            del batch
+            _give_back()
+    finally:
+        _give_back()
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
 
 
 def _weight(row: tuple) -> int:

@@ -1,6 +1,8 @@
 """What large inputs need: tasks that grow in number, not in size, and kernels that hold a chunk."""
 
+import os
 import random
+from pathlib import Path
 
 import pyarrow as pa
 
@@ -105,6 +107,23 @@ def test_block_indexes_of_many_files_are_few_batches():
     assert out[0].num_rows == sum(-(-len(b"block %d" % i * 200) // 1024) for i in range(300))
 
 
+def test_workers_give_memory_back_while_their_task_goes_on(spark):
+    def run(batches):
+        now = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+        used, kept = [now()], []
+        for _ in batches:
+            for _ in range(3):
+                held = [b"x" * 60_000 for _ in range(2000)]
+                kept.append(held[-1])  # above all that is freed
+                del held
+                yield pa.RecordBatch.from_arrays([pa.array([0])], ["mb"])
+                used.append(now())
+        yield pa.RecordBatch.from_arrays([pa.array([max(used) - used[0]])], ["mb"])
+
+    found = [r.mb for r in sources._mapped(spark.range(0, 1, 1, 1), run, "mb long").collect()]
+    assert len(found) == 4 and max(found) < 60  # it was 120 MB, given back at the end only
+
+
 def test_joins_and_lookups_take_more_tasks_as_their_tables_grow(spark, sf_dir, monkeypatch):
     names = ["lookup_pieces", "lookup_as_of", "interval_intersect", "interval_fully_data"]
     usual = {n: registry.QUERIES[n](spark, sf_dir).count() for n in names}
